@@ -37,14 +37,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, picked
+from .common import IDS_MOST, documents, map_batches, materialize, picked
 from .components import components
 from .shingles import digest, shingles, subsets
 
 HEAVY = 40
 #: Heavy shingles that are broadcast at most (8 bytes each); beyond, the threshold is doubled.
 HEAVY_MOST = 1_000_000
-ROUNDS = 3
+ROUNDS = 5
 STAR = 4
 #: The entries of a list that a set is taken to meet, for the choice between subsets and lists.
 LIST_COST = 8
@@ -153,7 +153,7 @@ def heavy_shingles(df: DataFrame) -> np.ndarray:
             over *= 2
         found = np.array([r.tok for r in counts.where(F.col("count") > over).select("tok").toLocalIterator()], np.int64).view(np.uint64)
         merged = np.union1d(heavy, found)
-        if len(merged) == len(heavy):
+        if len(merged) <= 1.02 * len(heavy):
             break
         before, heavy = heavy, merged
     return heavy
@@ -206,7 +206,9 @@ def star_pairs(filed: DataFrame) -> DataFrame:
 
 
 def list_pairs(filed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs across components that share enough entries to link. `nodes`: doc_id, comp (where linked)."""
+    """Pairs across components that share enough entries to link. `nodes`: doc_id, comp."""
+    nodes = materialize(nodes.where("comp <> doc_id"), "nodes")
+    nodes = F.broadcast(nodes) if nodes.count() <= IDS_MOST else nodes
     known = filed.join(nodes, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     flat = known.select("doc_id", "n", "comp", F.explode("entries").alias("tok"))
     mixed = flat.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
@@ -232,7 +234,7 @@ def classes(df: DataFrame) -> DataFrame:
     df = df.select("doc_id", "text")
     sets = materialize(_sets(df), "sets")
     heavy = heavy_shingles(df)
-    filed = _filed(df, heavy)
+    filed = materialize(_filed(df, heavy), "filed")
     full = sets.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
 

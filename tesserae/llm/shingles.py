@@ -11,15 +11,29 @@ import xxhash
 WORDS = 5
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = _Hashes()
+#: Words of more bytes are hashed on their own.
+LONG = 512
+_rng = np.random.default_rng(20240229)
+_BYTE = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(0, 2**63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones(1, np.uint64)
+_inverse = np.ones(1, np.uint64)
+_GAP = np.zeros(256, bool)
+_GAP[[32, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_BYTE = _BYTE[_LOWER]
+
+
+def _grow(n: int) -> None:
+    """Tables of the base's powers and inverse powers modulo 2**64, for texts of n bytes."""
+    global _powers, _inverse
+    if len(_powers) < n:
+        n = max(n, 2 * len(_powers), 1 << 16)
+        _powers, _inverse = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        _powers[0] = _inverse[0] = 1
+        _powers, _inverse = _powers.cumprod(dtype=np.uint64), _inverse.cumprod(dtype=np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -28,21 +42,34 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, by differences of one prefix sum over the bytes."""
+    b = np.frombuffer(raw, np.uint8)
+    gap = np.concatenate([[True], _GAP[b], [True]])
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:])
+    ends = np.flatnonzero(~gap[:-1] & gap[1:])
+    _grow(len(b) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * _powers[: len(b)], dtype=np.uint64)])
+    h = (sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64)
+    for i in np.flatnonzero(ends - starts > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].lower())
+    return _mix(h)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles, ascending: five words each; with fewer words the whole sequence.
 
-    A-Z are lower-cased; words are runs of other characters than space and the controls 9 to 13,
-    which is how bytes are split.
+    A-Z are lower-cased; words are runs of other bytes than space and the controls 9 to 13.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = word_hashes((text or "").encode())
     k = min(WORDS, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = _mix(out + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    if not k:
+        return np.zeros(0, np.uint64)
+    n = len(h) - k + 1
+    out = h[:n] * _PLACE[0]
+    for i in range(1, k):
+        out = out + h[i : n + i] * _PLACE[i]
+    return np.unique(_mix(out + np.uint64(k)))
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
