@@ -176,7 +176,7 @@ def antonyms(text: Column) -> Column:
 
 
 def sanitize(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)<(/?\s*memory[_-]?reference)", "&lt;$1")
+    return F.regexp_replace(text, r"(?i)<(/?memory-reference\b[^>]*>)", "&lt;$1")
 
 
 def synonyms(term: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tesserae.sources.shared import durable
+
 
 def traverse(links: DataFrame, starts: DataFrame, depth: int = 2, relations: list[str] | None = None) -> DataFrame:
     """Rows of (id, depth) of the nodes first met at 1..depth along outgoing links; at most five steps."""
@@ -38,6 +40,7 @@ def chain(rows: DataFrame, start: int, most: int = 64) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """Rows of (id, component) for links (a, b) by minimum labels; for graphs whose labels settle in `rounds`."""
+    durable(links.sparkSession)
     edges = links.select("a", "b").union(links.select("b", "a")).distinct().persist()
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
     for _ in range(rounds):

@@ -1,9 +1,502 @@
-"""All queries and their SQL by name."""
+"""All queries of the data model's operators and their SQL, by name.
+
+A query takes (spark, sf_dir); its SQL starts from the views in views.SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tesserae.functions import scope, scoring, text
+from tesserae.operators import conflict, graph, lexical, mutate, retrieve, vectors
+from tesserae.plans import views
+from tesserae.plans.views import NOW
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+QUERY = "apache license version"
+WHO = {"user_id": 1, "session_id": "s3", "project_id": "p2"}
+VISIBLE = "(scope = 'GLOBAL' OR (scope = 'USER' AND user_id = 1) OR (scope = 'SESSION' AND session_id = 's3') OR (scope = 'PROJECT' AND project_id = 'p2'))"
+SHOWN = "status NOT IN ('deleted', 'archived', 'superseded')"
+CLAMP = "greatest(0.0, least(1.0, {}))"
+DECAY = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in scoring.DECAY.items()) + f" ELSE {scoring.DECAY_OTHER} END"
+AGE = f"greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 8.64e10)"
+#: Scores with a session bound.
+SCOPE_FACTOR = "CASE WHEN scope = 'SESSION' AND session_id = 's3' THEN 1.0 WHEN scope IN ('PROJECT', 'USER') THEN 0.8 WHEN scope = 'GLOBAL' THEN 0.6 ELSE 0.2 END"
+NORMAL = r"trim(regexp_replace(regexp_replace(lower(content), '\s+', ' ', 'g'), '[^\p{L}\p{N}\s]', '', 'g'), ' ')"
+
+
+def query(name: str, sql: str | None = None, recursive: bool = False):
+    def register(fn):
+        _QUERIES[name] = fn
+        if sql is not None:
+            _SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{views.SQL}{sql}"
+        return fn
+
+    return register
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
+
+
+def oracles() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
+
+@query("f01_scope_visible", f"SELECT id, scope FROM memories WHERE {VISIBLE}")
+def _(spark, d):
+    return views.memories(spark, d).where(scope.visible(**WHO)).select("id", "scope")
+
+
+@query("f03_not_hidden", f"SELECT id, status FROM memories WHERE {SHOWN}")
+def _(spark, d):
+    return views.memories(spark, d).where(scope.not_hidden()).select("id", "status")
+
+
+@query("f04_currently_valid", f"SELECT id, valid_from, valid_until FROM memories WHERE coalesce(valid_from <= TIMESTAMP '2024-07-01', true) AND coalesce(valid_until >= TIMESTAMP '2024-07-01', true)")
+def _(spark, d):
+    return views.memories(spark, d).where(scope.valid_at(F.lit("2024-07-01").cast("timestamp"))).select("id", "valid_from", "valid_until")
+
+
+@query("f05_personal_rows", "SELECT id FROM memories WHERE user_id IS NULL OR user_id = 2")
+def _(spark, d):
+    return views.memories(spark, d).where(scope.personal(2)).select("id")
+
+
+@query("f08_contains", "SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'licensed under')")
+def _(spark, d):
+    return views.table(spark, d, "documents").where(scope.contains_text("text", "licensed UNDER")).select(F.col("doc_id").alias("id"))
+
+
+@query("f12_grants", ", grants AS (SELECT c_custkey % 3 + 1 AS grantee_user_id, 'PROJECT' AS scope_kind, 'p' || (c_custkey % 5) AS scope_ref, CASE WHEN c_custkey % 2 = 0 THEN 'read' ELSE 'write' END AS permission FROM customer WHERE c_nationkey = 3) SELECT id, project_id FROM memories WHERE project_id IN (SELECT scope_ref FROM grants WHERE grantee_user_id = 1 AND scope_kind = 'PROJECT')")
+def _(spark, d):
+    grants = views.table(spark, d, "customer").where("c_nationkey = 3").selectExpr("c_custkey % 3 + 1 AS grantee_user_id", "'PROJECT' AS scope_kind", "concat('p', c_custkey % 5) AS scope_ref", "CASE WHEN c_custkey % 2 = 0 THEN 'read' ELSE 'write' END AS permission")
+    return scope.granted(views.memories(spark, d), grants, 1, "PROJECT", "project_id").select("id", "project_id")
+
+
+@query("f15_untrusted_metadata", """SELECT event_id, NOT (json_extract_string(props, '$.k')::INT % 2 = 0) AS untrusted FROM events""")
+def _(spark, d):
+    events = views.table(spark, d, "events").withColumn("meta", F.concat(F.lit('{"trusted":'), (F.get_json_object("props", "$.k").cast("int") % 2 == 0).cast("string"), F.lit("}")))
+    return events.select("event_id", scope.untrusted("meta").alias("untrusted"))
+
+
+@query("f16_import_verdicts", "SELECT id, CASE WHEN content IS NULL OR length(trim(content)) = 0 THEN 'content missing' WHEN length(content) > 2000 THEN 'content too long' WHEN valid_from > valid_until THEN 'validity reversed' END AS reason FROM memories")
+def _(spark, d):
+    return mutate.verdicts(views.memories(spark, d)).select("id", "reason")
+
+
+@query("f17_link_allowed", "SELECT l.source_memory_id, l.target_memory_id, (NOT (a.scope = 'USER' OR b.scope = 'USER') OR a.user_id IS NOT DISTINCT FROM b.user_id) AND (NOT (a.scope = 'SESSION' OR b.scope = 'SESSION') OR a.session_id IS NOT DISTINCT FROM b.session_id) AND (NOT (a.scope = 'PROJECT' AND b.scope = 'PROJECT') OR a.project_id IS NOT DISTINCT FROM b.project_id) AS allowed FROM links l JOIN memories a ON a.id = l.source_memory_id JOIN memories b ON b.id = l.target_memory_id")
+def _(spark, d):
+    m = views.memories(spark, d).select("id", "scope", "user_id", "session_id", "project_id")
+    rows = views.links(spark, d).join(m.alias("a"), F.col("a.id") == F.col("source_memory_id")).join(m.alias("b"), F.col("b.id") == F.col("target_memory_id"))
+    return rows.select("source_memory_id", "target_memory_id", scope.may_link("a", "b").alias("allowed"))
+
+
+@query("f18_transitions", "SELECT id, CASE WHEN id % 2 = 0 THEN (status = 'active' OR status = 'stale') WHEN status = 'active' THEN true ELSE false END AS allowed FROM (SELECT id, status FROM memories WHERE status <> 'archived')")
+def _(spark, d):
+    rows = views.memories(spark, d).where("status <> 'archived'").withColumn("to", F.when(F.col("id") % 2 == 0, "archived").otherwise("reinforced"))
+    return rows.select("id", scope.may_move(F.col("status"), F.col("to")).alias("allowed"))
+
+
+@query("j03_left_outer_users", "SELECT m.id, c.c_name AS owner FROM memories m LEFT JOIN customer c ON c.c_custkey = m.user_id")
+def _(spark, d):
+    users = views.table(spark, d, "customer").selectExpr("c_custkey AS user_id", "c_name AS owner")
+    return views.memories(spark, d).join(users, "user_id", "left").select("id", "owner")
+
+
+@query("j04_links_both_visible", f"SELECT l.source_memory_id, l.relation, l.target_memory_id FROM links l JOIN (SELECT * FROM memories WHERE {VISIBLE} AND status <> 'archived') a ON a.id = l.source_memory_id JOIN (SELECT * FROM memories WHERE {VISIBLE} AND status <> 'archived') b ON b.id = l.target_memory_id")
+def _(spark, d):
+    ok = views.memories(spark, d).where(scope.visible(**WHO) & (F.col("status") != "archived")).select("id")
+    rows = views.links(spark, d)
+    return rows.join(ok.withColumnRenamed("id", "source_memory_id"), "source_memory_id", "left_semi").join(ok.withColumnRenamed("id", "target_memory_id"), "target_memory_id", "left_semi").select("source_memory_id", "relation", "target_memory_id")
+
+
+@query("j06_semi_join_union", "SELECT id FROM memories WHERE id IN (SELECT source_memory_id FROM links WHERE relation = 'supports' UNION SELECT target_memory_id FROM links WHERE relation = 'supports')")
+def _(spark, d):
+    used = views.links(spark, d).where("relation = 'supports'")
+    ids = used.select(F.col("source_memory_id").alias("id")).union(used.select("target_memory_id")).distinct()
+    return views.memories(spark, d).join(ids, "id", "left_semi").select("id")
+
+
+@query("j15_remap_ids", "SELECT l.source_memory_id, l.relation, m.id + 1000000 AS new_target FROM links l LEFT JOIN (SELECT id FROM memories WHERE status <> 'archived') m ON m.id = l.target_memory_id")
+def _(spark, d):
+    known = views.memories(spark, d).where("status <> 'archived'").select(F.col("id").alias("target_memory_id"), (F.col("id") + 1000000).alias("new_target"))
+    return views.links(spark, d).join(known, "target_memory_id", "left").select("source_memory_id", "relation", "new_target")
+
+
+@query("j17_anti_join_dedupe", "SELECT min(doc_id) AS id FROM documents GROUP BY lang, source, text")
+def _(spark, d):
+    docs = views.table(spark, d, "documents")
+    return docs.groupBy("lang", "source", "text").agg(F.min("doc_id").alias("id")).select("id")
+
+
+@query("j12_shared_entities", ", e AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{2,}\\b')) AS entity FROM benchmark) SELECT DISTINCT a.item_id AS a, b.item_id AS b FROM e a JOIN e b ON a.entity = b.entity AND a.item_id < b.item_id".replace("\\\\", "\\"))
+def _(spark, d):
+    e = views.table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0)))).alias("entity"))
+    return e.alias("x").join(e.alias("y"), (F.col("x.entity") == F.col("y.entity")) & (F.col("x.item_id") < F.col("y.item_id"))).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).distinct()
+
+
+@query("a01_counts_by_kind", "SELECT k.kind, count(i.id) AS n FROM (VALUES ('prompt'), ('tool_call'), ('error'), ('note')) k(kind) LEFT JOIN interactions i ON i.kind = k.kind GROUP BY k.kind")
+def _(spark, d):
+    known = spark.createDataFrame([(k,) for k in ("prompt", "tool_call", "error", "note")], "kind string")
+    got = views.interactions(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+    return known.join(got, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("a03_first_last", "SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM interactions")
+def _(spark, d):
+    return views.interactions(spark, d).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+
+
+@query("a04_latest_by_type", "SELECT type, (array_agg(id ORDER BY updated_at DESC, id DESC))[1] AS id FROM memories GROUP BY type")
+def _(spark, d):
+    return views.memories(spark, d).groupBy("type").agg(F.max_by("id", F.struct("updated_at", "id")).alias("id"))
+
+
+@query("a08_change_signature", "SELECT scope, count(*) AS n, coalesce(max(id), 0) AS last_id FROM memories GROUP BY scope")
+def _(spark, d):
+    return views.memories(spark, d).groupBy("scope").agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("last_id"))
+
+
+@query("a12_corpus_statistics", r"SELECT count(*) AS documents, round(avg(len(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}\p{M}]+'))), 6) AS mean_length FROM documents")
+def _(spark, d):
+    return views.table(spark, d, "documents").agg(F.count("*").alias("documents"), F.round(F.avg(F.size(text.index_terms(F.col("text")))), 6).alias("mean_length"))
+
+
+@query("a13_components", ", e AS (SELECT source_memory_id AS a, target_memory_id AS b FROM links WHERE relation = 'supports' AND source_memory_id <> target_memory_id), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT a AS id, a AS seen FROM both_ways UNION SELECT w.id, b.b FROM walk w JOIN both_ways b ON b.a = w.seen) SELECT id, min(seen) AS component FROM walk GROUP BY id", recursive=True)
+def _(spark, d):
+    edges = views.links(spark, d).where("relation = 'supports' AND source_memory_id <> target_memory_id").selectExpr("source_memory_id AS a", "target_memory_id AS b")
+    return graph.components(edges)
+
+
+@query("a15_derived_scope", "SELECT k AS cluster, CASE max(r) WHEN 4 THEN 'SESSION' WHEN 3 THEN 'USER' WHEN 2 THEN 'PROJECT' ELSE 'GLOBAL' END AS scope, CASE WHEN count(DISTINCT CASE WHEN r = top THEN o END) = 1 THEN min(CASE WHEN r = top THEN o END) END AS owner FROM (SELECT *, max(r) OVER (PARTITION BY k) AS top FROM (SELECT id // 3 AS k, CASE scope WHEN 'SESSION' THEN 4 WHEN 'USER' THEN 3 WHEN 'PROJECT' THEN 2 ELSE 1 END AS r, coalesce(session_id, CAST(user_id AS VARCHAR), project_id, '') AS o FROM memories)) GROUP BY k")
+def _(spark, d):
+    return graph.derived_scope(views.memories(spark, d).withColumn("cluster", F.floor(F.col("id") / 3).cast("long")), "cluster")
+
+
+@query("a18_changed_rows", None)
+def _(spark, d):
+    rows, changed = mutate.scrub(views.table(spark, d, "documents").select("doc_id", "text"), ["text"], text.redact)
+    return rows.agg(changed.alias("changed"), F.count("*").alias("rows"))
+
+
+@query("w02_token_budget", ", t AS (SELECT id, confidence, ceil(length(content) / 4) + 8 AS tokens FROM memories WHERE scope = 'GLOBAL'), r AS (SELECT id, tokens, row_number() OVER o AS position, sum(tokens) OVER (ORDER BY confidence DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM t WINDOW o AS (ORDER BY confidence DESC, id)) SELECT id, CAST(tokens AS BIGINT) AS tokens, position, CAST(used AS BIGINT) AS used FROM r WHERE position = 1 OR used <= 4000")
+def _(spark, d):
+    top = views.memories(spark, d).where("scope = 'GLOBAL'").select("id", "confidence", "content")
+    # every row costs nine tokens or more, so no more than 4000 / 9 rows can fit: a top-k, not one sort in a task
+    top = top.orderBy(F.desc("confidence"), "id").limit(4000 // 9 + 1)
+    out = retrieve.budget(top, [F.desc("confidence"), F.col("id")], 4000)
+    return out.select("id", F.col("tokens").cast("long").alias("tokens"), F.col("position").cast("long").alias("position"), F.col("used").cast("long").alias("used"))
+
+
+@query("t04_top_memories", f"SELECT id, round(importance * confidence, 6) AS weight FROM memories WHERE status = 'active' ORDER BY importance * confidence DESC, updated_at DESC, id LIMIT 15")
+def _(spark, d):
+    rows = views.memories(spark, d).where("status = 'active'").withColumn("w", F.col("importance") * F.col("confidence"))
+    return rows.orderBy(F.desc("w"), F.desc("updated_at"), "id").limit(15).select("id", F.round("w", 6).alias("weight"))
+
+
+@query("x01_truncate", "SELECT id, CASE WHEN length(content) > 500 THEN substr(content, 1, 499) || '…' ELSE content END AS content FROM interactions")
+def _(spark, d):
+    return views.interactions(spark, d).select("id", text.truncate(F.col("content"), 500).alias("content"))
+
+
+@query("x02_redact_secrets", None)
+def _(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
+
+
+@query("x05_normalize", f"SELECT id, {NORMAL} AS content FROM interactions")
+def _(spark, d):
+    return views.interactions(spark, d).select("id", text.normalize(F.col("content")).alias("content"))
+
+
+@query("x09_word_tokens", "SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM documents WHERE lang = 'en'")
+def _(spark, d):
+    return views.table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.ascii_words(F.col("text")).alias("words"))
+
+
+@query("x14_synonyms", None)
+def _(spark, d):
+    terms = spark.createDataFrame([("Deploy",), ("ลบ",), ("memory",), ("nothing",)], "term string")
+    return terms.select("term", text.synonyms(F.col("term")).alias("expanded"))
+
+
+@query("x20_token_set", "SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9ก-์]+'))) AS tokens FROM benchmark")
+def _(spark, d):
+    return views.table(spark, d, "benchmark").select("item_id", F.sort_array(text.token_set(F.col("text"))).alias("tokens"))
+
+
+@query("x21_entities", None)
+def _(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", text.entities(F.col("text")).alias("entities"))
+
+
+@query("x23_intents", None)
+def _(spark, d):
+    kind, what = text.intent(F.col("content"))
+    return views.interactions(spark, d).select("id", kind.alias("type"), what.alias("what")).where("type IS NOT NULL")
+
+
+@query("x30_lesson_text", "SELECT p_partkey AS id, 'Situation: ' || p_name || ' | Mistake: ' || p_brand || ' | Correction: ' || p_type AS content FROM part")
+def _(spark, d):
+    return views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.format_string("Situation: %s | Mistake: %s | Correction: %s", "p_name", "p_brand", "p_type").alias("content"))
+
+
+@query("x33_hash_token", "SELECT c_custkey AS id, sha256(c_name) AS token_hash, substr(sha256(c_name), 1, 8) AS prefix FROM customer")
+def _(spark, d):
+    h = F.sha2("c_name", 256)
+    return views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), h.alias("token_hash"), F.substring(h, 1, 8).alias("prefix"))
+
+
+@query("m02_final_score", f"SELECT id, round(1.0 / (60 + id % 50 + 1) * {CLAMP.format('confidence')} * (0.5 + 0.5 * {CLAMP.format('importance')}) * exp(-({DECAY}) * {AGE}) * ({SCOPE_FACTOR}), 8) AS score FROM memories")
+def _(spark, d):
+    score = scoring.final_score(1.0 / (61 + F.col("id") % 50), F.col("confidence"), F.col("importance"), scoring.recency(F.col("type"), F.col("updated_at"), now()), scoring.scope_factor(**WHO))
+    return views.memories(spark, d).select("id", F.round(score, 8).alias("score"))
+
+
+@query("m05_salience", f"SELECT id, round(least(1.0, 0.3 * importance + 0.2 * importance + 0.15 * confidence + 0.15 * exp(-({DECAY}) * {AGE}) + 0.1 * 1.0 + 0.1 * 0.0), 6) AS salience FROM memories")
+def _(spark, d):
+    c = F.col
+    value = scoring.salience(relevance=c("importance"), importance=c("importance"), confidence=c("confidence"), recency=scoring.recency(c("type"), c("updated_at"), now()), frequency=F.lit(3.0), project=F.lit(-1.0))
+    return views.memories(spark, d).select("id", F.round(value, 6).alias("salience"))
+
+
+@query("m06_confidence", "SELECT id, round(w + (1 - w) * (1 - 1.0 / (1 + id % 9)), 6) AS confidence FROM (SELECT id, CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in scoring.SOURCE.items()) + " ELSE 0.5 END AS w FROM memories)")
+def _(spark, d):
+    return views.memories(spark, d).select("id", F.round(scoring.confidence(F.col("source"), F.col("id") % 9), 6).alias("confidence"))
+
+
+FNV = "list_reduce(list_prepend(453, list_transform(string_split({}, ''), lambda c: unicode(c))), lambda h, c: (xor(h, c & 511) * 403) & 511)"
+
+
+@query("m09_fnv_buckets", f"SELECT p_partkey AS id, {FNV.format('p_name')} AS bucket FROM part")
+def _(spark, d):
+    return views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.fnv_bucket(F.col("p_name")).alias("bucket"))
+
+
+@query("m10_embeddings", f", b AS (SELECT item_id AS id, lower(text) AS t, regexp_replace(lower(text), '\\s+', '', 'g') AS bare FROM benchmark), g AS (SELECT id, unnest(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w <> '') || list_transform(range(1, greatest(length(bare) - 1, 1)), lambda i: 'g:' || substr(bare, i, 3))) AS gram FROM b), c AS (SELECT id, {FNV.format('gram')} AS bucket, count(*) AS n FROM g GROUP BY ALL) SELECT id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS weight FROM c")
+def _(spark, d):
+    return vectors.sparse_embedding(views.table(spark, d, "benchmark").withColumnRenamed("item_id", "id"), "text")
+
+
+@query("m12_jaccard", ", t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9ก-์]+')) AS s FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.s, b.s)) / greatest(1, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard FROM t a JOIN t b ON b.item_id = a.item_id + 1")
+def _(spark, d):
+    t = views.table(spark, d, "benchmark").select("item_id", text.token_set(F.col("text")).alias("s"))
+    after = t.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("s").alias("z"))
+    return t.join(after, "item_id").select(F.col("item_id").alias("a"), "b", F.round(scoring.jaccard(F.col("s"), F.col("z")), 6).alias("jaccard"))
+
+
+BM25 = r"""
+, terms AS (SELECT unnest(['apache', 'license', 'version']) AS term),
+tok AS (SELECT id, content, regexp_extract_all(lower(content), '[\p{L}\p{N}\p{Co}\p{M}]+') AS t FROM memories),
+stats AS (SELECT count(*) AS documents, avg(len(t)) AS mean FROM tok),
+post AS (SELECT id, len(t) AS length, term, len(list_filter(t, lambda x: x = term)) AS tf FROM tok, terms),
+df AS (SELECT term, count(*) AS df FROM post WHERE tf > 0 GROUP BY term),
+fts AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
+  SELECT p.id, round(sum(CASE WHEN ln((documents - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((documents - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+  FROM post p JOIN df USING (term), stats WHERE tf > 0 GROUP BY p.id) s
+  WHERE id IN (SELECT id FROM memories WHERE VISIBLE AND SHOWN) ORDER BY score DESC, id LIMIT 50)
+""".replace("VISIBLE", VISIBLE).replace("SHOWN", SHOWN)
+
+
+@query("q01_fts_search", BM25 + "SELECT id, score, rank FROM fts")
+def _(spark, d):
+    out = lexical.search(views.memories(spark, d), QUERY, 50, visible=scope.visible(**WHO) & scope.not_hidden())
+    return out.select("id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+VEC = """
+, vec AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
+  SELECT vec_id AS id, round(list_sum(list_transform(list_zip(embedding, (SELECT embedding FROM embeddings WHERE vec_id = 7)), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 5) AS score FROM embeddings)
+  WHERE score >= 0.15 AND id IN (SELECT id FROM memories WHERE VISIBLE AND SHOWN) ORDER BY score DESC, id LIMIT 50)
+""".replace("VISIBLE", VISIBLE).replace("SHOWN", SHOWN)
+
+
+def query_vector(spark, d):
+    return list(views.embeddings(spark, d).where("id = 7").first().vec)
+
+
+@query("q02_vector_search", VEC + "SELECT id, score FROM vec")
+def _(spark, d):
+    seen = views.memories(spark, d).where(scope.visible(**WHO) & scope.not_hidden())
+    return vectors.search(views.embeddings(spark, d), query_vector(spark, d), 50, visible=seen)
+
+
+FUSED = f"""
+, fused AS (SELECT id, sum(1.0 / (60 + rank)) AS rrf, max(CASE WHEN ch = 0 THEN rank END) AS r0, max(CASE WHEN ch = 1 THEN rank END) AS r1
+  FROM (SELECT id, rank, 0 AS ch FROM fts UNION ALL SELECT id, rank, 1 FROM vec) GROUP BY id),
+seeds AS (SELECT m.id, m.content, round(rrf * {CLAMP.format('confidence')} * (0.5 + 0.5 * {CLAMP.format('importance')}) * exp(-({DECAY}) * {AGE}) * ({SCOPE_FACTOR}), 8) AS final_score, r0, r1
+  FROM memories m JOIN fused USING (id) ORDER BY final_score DESC, r0 NULLS LAST, r1 NULLS LAST, id LIMIT 10)
+"""
+
+
+def seeds(spark, d):
+    return retrieve.retrieve(views.memories(spark, d), views.embeddings(spark, d), QUERY, query_vector(spark, d), now(), 10, **WHO)
+
+
+@query("q03_retrieve", BM25 + VEC + FUSED + "SELECT id, final_score FROM seeds")
+def _(spark, d):
+    return seeds(spark, d).select("id", "final_score")
+
+
+@query("q04_get_context", BM25 + VEC + FUSED + f""", near AS (SELECT DISTINCT target_memory_id AS id FROM links WHERE source_memory_id IN (SELECT id FROM seeds) AND target_memory_id NOT IN (SELECT id FROM seeds)),
+picked AS (SELECT id, final_score AS score, 0 AS hop FROM seeds UNION ALL SELECT id, 0.0, 1 FROM near),
+ok AS (SELECT m.id, score, hop, ceil(length(content) / 4) + 8 AS tokens FROM memories m JOIN picked USING (id) WHERE {SHOWN} AND coalesce(valid_from <= TIMESTAMP '{NOW}', true) AND coalesce(valid_until >= TIMESTAMP '{NOW}', true)),
+run AS (SELECT *, row_number() OVER (ORDER BY hop, score DESC, id) AS position, sum(tokens) OVER (ORDER BY hop, score DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM ok)
+SELECT id, hop, position FROM run WHERE position = 1 OR used <= 4000""")
+def _(spark, d):
+    out = retrieve.context(views.memories(spark, d), views.links(spark, d), seeds(spark, d), now(), 4000)
+    return out.select("id", "hop", F.col("position").cast("long").alias("position"))
+
+
+@query("q07_search_history", "SELECT id, ts FROM interactions WHERE kind = 'prompt' AND contains(lower(content), 'the') ORDER BY ts DESC, id LIMIT 10")
+def _(spark, d):
+    return views.interactions(spark, d).where((F.col("kind") == "prompt") & scope.contains_text("content", "the")).orderBy(F.desc("ts"), "id").limit(10).select("id", "ts")
+
+
+@query("q08_recent_interactions", "SELECT id, kind FROM interactions ORDER BY id DESC LIMIT 20")
+def _(spark, d):
+    return views.interactions(spark, d).orderBy(F.desc("id")).limit(20).select("id", "kind")
+
+
+@query("q09_memory_stats", "SELECT 'type:' || type AS name, count(*) AS n FROM memories GROUP BY type UNION ALL SELECT 'status:' || status, count(*) FROM memories GROUP BY status UNION ALL SELECT 'kind:' || kind, count(*) FROM interactions GROUP BY kind")
+def _(spark, d):
+    m, i = views.memories(spark, d).select("type", "status"), views.interactions(spark, d)
+    parts = [df.groupBy(c).agg(F.count("*").alias("n")).select(F.concat(F.lit(f"{c}:"), F.col(c)).alias("name"), "n") for df, c in ((m, "type"), (m, "status"), (i, "kind"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+PAIRS = ", p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+
+
+@query("q10_similar_pairs", PAIRS + " SELECT a, b, score FROM p WHERE score >= 0.4")
+def _(spark, d):
+    return vectors.pairs(views.embeddings(spark, d), 0.4)
+
+
+@query("q10_clusters", PAIRS + ", both_ways AS (SELECT a, b FROM p WHERE score >= 0.4 UNION SELECT b, a FROM p WHERE score >= 0.4), walk AS (SELECT a AS id, a AS seen FROM both_ways UNION SELECT w.id, b.b FROM walk w JOIN both_ways b ON b.a = w.seen) SELECT id, min(seen) AS component FROM walk GROUP BY id", recursive=True)
+def _(spark, d):
+    return graph.components(vectors.pairs(views.embeddings(spark, d), 0.4))
+
+
+@query("q12_traverse", ", s1 AS (SELECT DISTINCT target_memory_id AS id FROM links WHERE source_memory_id = 5 AND target_memory_id <> 5), s2 AS (SELECT DISTINCT target_memory_id AS id FROM links WHERE source_memory_id IN (SELECT id FROM s1) AND target_memory_id <> 5 AND target_memory_id NOT IN (SELECT id FROM s1)) SELECT id, 1 AS depth FROM s1 UNION ALL SELECT id, 2 FROM s2")
+def _(spark, d):
+    return graph.traverse(views.links(spark, d), spark.createDataFrame([(5,)], "id long"), 2)
+
+
+@query("q13_provenance", "SELECT source_memory_id AS id FROM links WHERE relation = 'derived_from' AND target_memory_id % 10 = 3")
+def _(spark, d):
+    return views.links(spark, d).where("relation = 'derived_from' AND target_memory_id % 10 = 3").select(F.col("source_memory_id").alias("id"))
+
+
+@query("q14_valid_at", f"SELECT id FROM memories WHERE status <> 'deleted' AND type IN ('FACT', 'GOAL') AND coalesce(valid_from <= TIMESTAMP '2024-05-01', true) AND coalesce(valid_until >= TIMESTAMP '2024-05-01', true) ORDER BY updated_at DESC, id LIMIT 200")
+def _(spark, d):
+    rows = views.memories(spark, d).where((F.col("status") != "deleted") & F.col("type").isin("FACT", "GOAL") & scope.valid_at(F.lit("2024-05-01").cast("timestamp")))
+    return rows.orderBy(F.desc("updated_at"), "id").limit(200).select("id")
+
+
+@query("q15_supersession_chain", ", back AS (SELECT CAST(5 AS BIGINT) AS id, 0 AS step UNION ALL SELECT m.supersedes_id, b.step - 1 FROM back b JOIN memories m ON m.id = b.id WHERE m.supersedes_id IS NOT NULL), forth AS (SELECT CAST(5 AS BIGINT) AS id, 0 AS step UNION ALL SELECT m.id, f.step + 1 FROM forth f JOIN (SELECT supersedes_id, min(id) AS id FROM memories GROUP BY 1) m ON m.supersedes_id = f.id) SELECT id, row_number() OVER (ORDER BY min(step)) AS position FROM (SELECT * FROM back UNION SELECT * FROM forth) GROUP BY id", recursive=True)
+def _(spark, d):
+    return graph.chain(views.memories(spark, d).select("id", "supersedes_id"), 5).select("id", F.col("position").cast("long").alias("position"))
+
+
+@query("q16_changes_between", "SELECT id, updated_at FROM memories WHERE updated_at BETWEEN TIMESTAMP '2024-03-01' AND TIMESTAMP '2024-03-31' ORDER BY updated_at DESC, id LIMIT 100")
+def _(spark, d):
+    return graph.changes(views.memories(spark, d), F.lit("2024-03-01").cast("timestamp"), F.lit("2024-03-31").cast("timestamp")).select("id", "updated_at")
+
+
+@query("q17_exact_matches", f", n AS (SELECT id, type, {NORMAL} AS t FROM memories WHERE status <> 'deleted') SELECT type, min(id) AS id, count(*) AS copies FROM n GROUP BY type, t HAVING count(*) > 1")
+def _(spark, d):
+    rows = views.memories(spark, d).select("id", "type", F.sha2(text.normalize(F.col("content")), 256).alias("t"))
+    return rows.groupBy("type", "t").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("copies > 1").select("type", "id", "copies")
+
+
+NEG = r"'\bnot\b|\bnever\b|\bno longer\b|\bstop\b|\bavoid\b|\bdon''?t\b|\binstead\b|\bbut\b|\bhowever\b|ไม่|ห้าม|เลิก|อย่า'"
+
+
+@query("q18_contradictions", rf", t AS (SELECT id, regexp_matches(lower(content), {NEG}) AS neg, list_distinct(regexp_extract_all(lower(content), '[a-z0-9ก-์]+')) AS s FROM memories) SELECT l.source_memory_id, l.target_memory_id, a.neg <> b.neg AND len(list_intersect(a.s, b.s)) >= 2 AS contradiction FROM links l JOIN t a ON a.id = l.source_memory_id JOIN t b ON b.id = l.target_memory_id")
+def _(spark, d):
+    m = views.memories(spark, d).select("id", text.negated(F.col("content")).alias("neg"), text.token_set(F.col("content")).alias("s"))
+    rows = views.links(spark, d).join(m.alias("a"), F.col("a.id") == F.col("source_memory_id")).join(m.alias("b"), F.col("b.id") == F.col("target_memory_id"))
+    return rows.select("source_memory_id", "target_memory_id", ((F.col("a.neg") != F.col("b.neg")) & (F.size(F.array_intersect("a.s", "b.s")) >= 2)).alias("contradiction"))
+
+
+@query("q20_relationships", None)
+def _(spark, d):
+    pairs = [("I like TypeScript", "I do not like TypeScript", 0.8), ("use tabs", "use spaces", 0.5), ("deploy with docker", "deploy with docker now", 0.7), ("red", "blue", 0.1), ("same", "same", 0.99)]
+    rows = spark.createDataFrame(pairs, "a string, b string, cosine double")
+    return rows.select("a", "b", conflict.relationship(F.col("a"), F.col("b"), F.col("cosine")).alias("relationship"))
+
+
+@query("q21_find_related", "SELECT c.vec_id AS candidate, arg_max(v.vec_id, round(s, 5) * 1e7 - v.vec_id) AS id, max(round(s, 5)) AS score FROM (SELECT c.vec_id, v.vec_id AS other, list_sum(list_transform(list_zip(c.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS s FROM embeddings c JOIN embeddings v ON c.vec_id % 20 = 0 AND v.vec_id <> c.vec_id) x JOIN embeddings c ON c.vec_id = x.vec_id JOIN embeddings v ON v.vec_id = x.other WHERE round(s, 5) >= 0.35 GROUP BY c.vec_id")
+def _(spark, d):
+    rows = views.embeddings(spark, d)
+    best = vectors.pairs(rows, 0.35)
+    both = best.select(F.col("a").alias("candidate"), F.col("b").alias("id"), "score").union(best.select("b", "a", "score")).where("candidate % 20 = 0")
+    return both.groupBy("candidate").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("m")).select("candidate", (-F.col("m.neg")).alias("id"), F.col("m.score").alias("score"))
+
+
+@query("q22_distill_profile", ", p AS (SELECT content, CAST(ts AS DATE) AS day FROM interactions WHERE kind = 'prompt') SELECT 'prompts' AS name, count(*) AS n FROM p UNION ALL SELECT 'days', count(DISTINCT day) FROM p UNION ALL SELECT 'word:' || w, n FROM (SELECT w, count(*) AS n FROM (SELECT unnest(list_transform(string_split_regex(content, '\\s+'), lambda x: trim(lower(x)))) AS w FROM p) WHERE length(w) >= 2 AND NOT regexp_matches(w, '^\\d+$') AND w NOT IN (".replace("\\\\", "\\") + ",".join(f"'{w}'" for w in text.STOPWORDS) + ") GROUP BY w ORDER BY n DESC, w LIMIT 15)")
+def _(spark, d):
+    prompts = views.interactions(spark, d).where("kind = 'prompt'")
+    facts = prompts.agg(F.count("*").alias("prompts"), F.countDistinct(F.to_date("ts")).alias("days")).selectExpr("stack(2, 'prompts', prompts, 'days', days) AS (name, n)")
+    words = prompts.select(F.explode(text.keywords(F.col("content"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return facts.unionByName(words.orderBy(F.desc("n"), "w").limit(15).select(F.concat(F.lit("word:"), F.col("w")).alias("name"), "n"))
+
+
+@query("u01_remember", "SELECT category, key, CASE WHEN nk IS NOT NULL THEN new_value ELSE value END AS value, round(CASE WHEN value IS NULL THEN 0.5 WHEN nk IS NOT NULL THEN least(confidence + 0.1, 1.0) ELSE confidence END, 6) AS confidence FROM (SELECT coalesce(c.c_mktsegment, n.category) AS category, coalesce(CAST(c.c_custkey AS VARCHAR), n.key) AS key, c.c_name AS value, (c.c_custkey % 10 + 1) / 10.0 AS confidence, n.key AS nk, n.value AS new_value FROM (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c FULL JOIN (SELECT c_mktsegment AS category, CAST(c_custkey AS VARCHAR) AS key, 'new' AS value FROM customer WHERE c_custkey % 3 = 0) n ON c.c_mktsegment = n.category AND CAST(c.c_custkey AS VARCHAR) = n.key)")
+def _(spark, d):
+    c = views.table(spark, d, "customer")
+    current = c.where("c_custkey % 4 <> 0").selectExpr("c_mktsegment AS category", "CAST(c_custkey AS STRING) AS key", "c_name AS value", "(c_custkey % 10 + 1) / 10.0D AS confidence")
+    return mutate.remember(current, c.where("c_custkey % 3 = 0").selectExpr("c_mktsegment AS category", "CAST(c_custkey AS STRING) AS key", "'new' AS value"))
+
+
+@query("u05_supersede", "SELECT id, CASE WHEN id % 50 = 0 THEN 'superseded' WHEN id % 50 = 1 THEN 'active' ELSE status END AS status, CASE WHEN id % 50 = 1 THEN id - 1 ELSE supersedes_id END AS supersedes_id FROM memories")
+def _(spark, d):
+    m = views.memories(spark, d)
+    pairs = m.where("id % 50 = 1").selectExpr("id - 1 AS old", "id AS new")
+    return mutate.supersede(m, pairs).select("id", "status", "supersedes_id")
+
+
+@query("u06_reinforce", "SELECT id, CASE WHEN id % 5 = 0 AND status IN ('active', 'stale') THEN 'active' ELSE status END AS status, round(CASE WHEN id % 5 = 0 AND status IN ('active', 'stale') THEN least(confidence + 0.05, 1.0) ELSE confidence END, 6) AS confidence FROM memories")
+def _(spark, d):
+    m = views.memories(spark, d)
+    return mutate.reinforce(m, m.where("id % 5 = 0").select("id")).select("id", "status", "confidence")
+
+
+@query("u08_link_insert", "SELECT source_memory_id, relation, target_memory_id FROM links UNION SELECT source_memory_id, 'supports', target_memory_id FROM links")
+def _(spark, d):
+    rows = views.links(spark, d)
+    return mutate.insert_missing(rows, rows.select("source_memory_id", F.lit("supports").alias("relation"), "target_memory_id"), ["source_memory_id", "relation", "target_memory_id"])
+
+
+@query("u12_forget", "SELECT id, CASE WHEN supersedes_id % 7 = 3 THEN NULL ELSE supersedes_id END AS supersedes_id FROM memories WHERE id % 7 <> 3")
+def _(spark, d):
+    m = views.memories(spark, d)
+    return mutate.forget(m, views.links(spark, d), m.where("id % 7 = 3").select("id"))[0].select("id", "supersedes_id")
+
+
+@query("s14_table_counts", "SELECT 'documents' AS table_name, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'pages', count(*) FROM pages")
+def _(spark, d):
+    from tesserae.sources import io
+
+    return io.counts({t: views.table(spark, d, t) for t in ("documents", "events", "pages")})
+
+
+@query("st1_capture_stream", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type IN ('click', 'view') THEN 'prompt' ELSE 'tool_call' END AS kind, props AS content FROM events")
+def _(spark, d):
+    import uuid
 
+    from tesserae.sources.shared import durable
+    from tesserae.streaming import capture
 
-def oracles() -> dict:
-    return {}
+    top = f"{durable(spark)}/capture-{uuid.uuid4().hex}"
+    rows = capture.captured(capture.events(spark, f"{d}/events.parque[t]")).select("id", "kind", "content")
+    capture.append(rows, f"{top}/rows", f"{top}/state").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{top}/rows")
