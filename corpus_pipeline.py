@@ -17,7 +17,7 @@ from tesserae.llm.common import documents, map_batches, materialize, without
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; all others go."""
     weights = op5_toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op5_toxicity.scored(docs, weights).where(F.col("score") < op5_toxicity.THRESHOLD).drop("score")
+    return op5_toxicity.scored(docs, weights, "_score").where(F.col("_score") < op5_toxicity.THRESHOLD).drop("_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    taken = op2_mix.mix(docs, keep=others).where("copies > 0")
-    return taken.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = op2_mix.mix(docs, keep=others).where("copies > 0").select("doc_id", "source", "kept", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_k"))
+    return taken.select(*[F.col(c if c in ("doc_id", "source") else f"kept.{c}") for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,9 +85,10 @@ def uniform(*by: Column) -> Column:
 
 
 def mix(df: DataFrame, weights=WEIGHTS, share: float = 1.0, weight: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each row with size, source_size, target, copies; `keep` names columns that stay besides the id."""
+    """Each row with size, source_size, target, copies; `keep` names columns that stay, in the struct `kept`."""
     spark = df.sparkSession
-    sized = df.select("doc_id", "source", *keep, words(F.col("text")).alias("size"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
+    kept = F.struct(*keep) if keep else F.lit(None)
+    sized = df.select("doc_id", "source", kept.alias("kept"), words(F.col("text")).alias("size"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
     sized = sized.withColumn("_w", F.greatest(F.coalesce("_w", F.lit(1.0)), F.lit(1e-6)))
     goal = plan(spark, sized, weights, share)
     if weight:  # p = part * w / (the source's mean weight by words), so that expected words stay part * size
@@ -115,9 +116,9 @@ def mix(df: DataFrame, weights=WEIGHTS, share: float = 1.0, weight: str | None =
     edges = edges.withColumn("_take", F.col("_before") + F.col("_upto") - F.col("size") / 2 <= F.col("_rest"))
     others = rows.where(~F.coalesce(inside, F.lit(False))).withColumn("_upto", F.lit(0).cast("long")).withColumn("_take", F.coalesce(F.col("_cell") < F.col("_edge"), F.lit(False)))
     out = others.unionByName(edges)
-    return out.select("doc_id", "source", *keep, "size", "source_size", "target", (F.col("whole") + F.col("_take").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "kept", "size", "source_size", "target", (F.col("whole") + F.col("_take").cast("long")).alias("copies"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(documents(spark, sf_dir))
+    out = mix(documents(spark, sf_dir)).drop("kept")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")

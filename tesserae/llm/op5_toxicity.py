@@ -129,15 +129,15 @@ def score(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id") -> D
     return map_batches(docs.select(key, "text"), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double", run)
 
 
-def scored(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """The same rows and columns and a column `score`."""
+def scored(docs: DataFrame, weights: np.ndarray | None, name: str = "score") -> DataFrame:
+    """The same rows and columns and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("text")
 
     def run(*columns):
         return [*columns, [probability(x, shared.value) for x in columns[at]]]
 
-    return map_batches(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double", run)
+    return map_batches(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double", run)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
