@@ -1,0 +1,75 @@
+"""Thai segmentation by longest dictionary match, and spans of quoted memories, as pandas UDFs."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Words that the segmenter knows.
+WORDS = frozenset("ติดตั้ง ดีพลอย ฐานข้อมูล เซิร์ฟเวอร์ โปรเจกต์ เวอร์ชัน แพ็กเกจ ค้นหา บันทึก ลบ ความจำ หน่วยความจำ คอนฟิก ดีบั๊ก สำรอง โหนด เทสต์ ข้อผิดพลาด ใช้ ชอบ ผม ฉัน เรา ไม่ ชา กาแฟ แมว สุนัข".split())
+_LONGEST = max(map(len, WORDS))
+_RUN = re.compile("[฀-๿]+")
+_CLUSTER = re.compile("[เแโใไ]?[ก-ฮ][ะ-ฺ็-๎]*|.")
+
+
+def split_run(run: str, extra: frozenset = frozenset()) -> list[str]:
+    """The longest known word at each place, else one consonant cluster; no character is lost."""
+    out, i, words = [], 0, WORDS | extra
+    most = max([_LONGEST, *map(len, extra)])
+    while i < len(run):
+        n = next((k for k in range(min(most, len(run) - i), 1, -1) if run[i : i + k] in words), 0) or _CLUSTER.match(run, i).end() - i
+        out.append(run[i : i + n])
+        i += n
+    return out
+
+
+def pad(text: str) -> str:
+    """Thai runs with spaces around their words; everything else as it is. Padding again changes nothing."""
+    return re.sub(" +", " ", _RUN.sub(lambda m: " " + " ".join(split_run(m.group())) + " ", text)).strip(" ") if _RUN.search(text) else text
+
+
+def words(text: str) -> list[str]:
+    out, last = [], 0
+    for m in _RUN.finditer(text):
+        out += re.findall("[a-z0-9]+", text[last : m.start()].lower()) + split_run(m.group())
+        last = m.end()
+    return out + re.findall("[a-z0-9]+", text[last:].lower())
+
+
+@F.pandas_udf(T.StringType())
+def segment_for_index(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else pad(x))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def word_tokens(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else words(x))
+
+
+def spans(text: str, wanted: list[str]) -> list[tuple[int, int]]:
+    """All places of the wanted texts, in any case, overlapping ones merged."""
+    low, found = text.lower(), []
+    for w in {x.lower() for x in wanted if x}:
+        found += [(m.start(), m.end()) for m in re.finditer(f"(?={re.escape(w)})", low) for m in [re.compile(re.escape(w)).match(low, m.start())]]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+@F.pandas_udf(T.StringType())
+def highlighted(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+    def one(text, words):
+        if text is None:
+            return None
+        for a, b in reversed(spans(text, list(words) if words is not None else [])):
+            text = f"{text[:a]}[mem]{text[a:b]}[/mem]{text[b:]}"
+        return text
+
+    return pd.Series([one(t, w) for t, w in zip(texts, wanted, strict=True)])

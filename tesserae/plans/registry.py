@@ -500,3 +500,6 @@ def _(spark, d):
     rows = capture.captured(capture.events(spark, f"{d}/events.parque[t]")).select("id", "kind", "content")
     capture.append(rows, f"{top}/rows", f"{top}/state").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{top}/rows")
+
+
+from tesserae.plans import more  # noqa: E402, F401  registers the rest
