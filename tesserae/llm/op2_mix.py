@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import GAP, documents
+from .common import GAP, documents, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -87,9 +87,11 @@ def uniform(*by: Column) -> Column:
 def mix(df: DataFrame, weights=WEIGHTS, share: float = 1.0, weight: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row with size, source_size, target, copies; `keep` names columns that stay, in the struct `kept`."""
     spark = df.sparkSession
-    kept = F.struct(*keep) if keep else F.lit(None)
+    kept = F.struct(*keep) if keep else F.lit(None).cast("string")
     sized = df.select("doc_id", "source", kept.alias("kept"), words(F.col("text")).alias("size"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
     sized = sized.withColumn("_w", F.greatest(F.coalesce("_w", F.lit(1.0)), F.lit(1e-6)))
+    if not keep:  # words are counted once, and what follows reads a few numbers a document
+        sized = materialize(sized, "sized")
     goal = plan(spark, sized, weights, share)
     if weight:  # p = part * w / (the source's mean weight by words), so that expected words stay part * size
         means = sized.groupBy("source").agg((F.sum(F.col("_w") * F.col("size")) / F.greatest(F.sum("size"), F.lit(1))).alias("_mean"))
