@@ -53,11 +53,11 @@ def digests(df: DataFrame, raw: bytes) -> DataFrame:
 
     def run(keys, texts):
         model, _ = spm.load(shared.value)
-        n, a, b = [], [], []
+        n, a, b, decimal = [], [], [], [str(i) for i in range(len(model.pieces))]
         for x in texts:
             ids = encode_text(x, shared.value)
             n.append(len(ids))
-            a.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            a.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
             b.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
         return [keys, n, a, b]
 

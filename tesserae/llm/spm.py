@@ -76,7 +76,8 @@ class Model:
         self.text = [SPACE + "⁇" + SPACE if t == UNKNOWN else "" if t == CONTROL else p for p, _, t in self.pieces]
         self.as_byte = {i: b for b, i in enumerate(self.byte_id)}
         self.tokens = {p for p in self.id if self.merge(p) == [p]}
-        self.longest = max(map(len, self.tokens), default=0)
+        self.characters = {t for t in self.tokens if len(t) == 1}
+        self.bytes_used = frozenset(self.byte_id)
         self.cut = self._cutter()
         self._pairs: dict[tuple[str, str], bool] = {}
         self._shorter: dict[str, str] = {}
@@ -134,18 +135,25 @@ class Model:
         """Encode a text each of whose characters is a token."""
         n = len(text)
         longest = [0] * n
-        for end, length in self.automaton.iter(text):
-            if length > longest[end - length + 1]:
-                longest[end - length + 1] = length
+        for end, length in self.automaton.iter(text):  # by ascending ends, so the last match from a start is its longest
+            longest[end - length + 1] = length
         failed = bytearray(n // 8 + 1)  # bit i: no encoding of the rest starts at i after the tokens tried
+        pairs, shorter = self._pairs, self._shorter
         out: list[str] = []
         at, token = 0, text[: longest[0]]
         while at < n:
             while token:
                 end = at + len(token)
-                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter(token)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if not out:
+                        break
+                    fits = pairs.get((out[-1], token))
+                    if fits is None:
+                        fits = self.compatible(out[-1], token)
+                    if fits:
+                        break
+                less = shorter.get(token)
+                token = self.shorter(token) if less is None else less
             if token:
                 out.append(token)
                 at += len(token)
@@ -159,10 +167,12 @@ class Model:
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         """The ids of a text that is already escaped and has no further prefix."""
+        if self.characters.issuperset(chunk):
+            return tuple(map(self.id.__getitem__, self._encode_known(chunk))) if chunk else ()
         out: list[int] = []
         start = 0
         for i, c in enumerate(chunk):
-            if c not in self.tokens:
+            if c not in self.characters:
                 if start < i:
                     out += [self.id[p] for p in self._encode_known(chunk[start:i])]
                 out += [self.byte_id[b] for b in c.encode("utf-8")]
@@ -176,6 +186,9 @@ class Model:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of `ids`; bytes that aren't UTF-8 become U+FFFD one by one."""
+        ids = list(ids)
+        if self.bytes_used.isdisjoint(ids):
+            return "".join(map(self.text.__getitem__, ids)).removeprefix(SPACE).replace(SPACE, " ")
         parts: list[str] = []
         run = bytearray()
         for i in ids:
