@@ -10,12 +10,16 @@ brackets, country code, letter case, title.
   numbers get distinct surrogates. Cards that pass the Luhn test have surrogates that pass it.
 * IPv4 addresses go through a permutation of the 32-bit numbers.
 * E-mail addresses get `WIDTH` keyed letters (and the digits their local part ends in) at a reserved domain.
-* Given names come from lists by gender (from the title) and script; surnames are built from keyed
-  syllables of the script.
+* Given names come from lists by gender and script, with keyed syllables added where the lists are too
+  short; surnames are built from keyed syllables of the script. The gender is that of the title; a name
+  under a title of neither has the gender that the same full name has elsewhere in the corpus, else a
+  keyed one. The same full name under titles of both genders counts as two people.
 
-Letters drawn from a hash may collide. `exceptions` counts the surrogates of all distinct entities,
-and those that share one with a smaller entity, or meet an entity of the corpus, draw again until none does; the
-few that had to are broadcast as a map. Beyond `EXCEPTIONS_MOST` the width is raised instead.
+Letters drawn from a hash may collide. `exceptions` counts the surrogates of all distinct addresses,
+surnames and given names, and those that share one with a smaller entity, or (but for given names) meet an
+entity of the corpus, draw again until none does; so distinct full names have distinct surrogates. The
+few that had to are broadcast as a map. Beyond `EXCEPTIONS_MOST` the width is raised instead. Full names
+whose gender is known from elsewhere only, and isn't the keyed one, are broadcast too, all of them.
 
 A null text stays null, an empty one empty; other columns stay. Whole texts are read. Repeated rows
 give repeated results; an empty table gives an empty result. Nothing but distinct entities is shuffled.
@@ -24,6 +28,7 @@ give repeated results; an empty table gives an empty result. Nothing but distinc
 from __future__ import annotations
 
 import json
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +38,8 @@ from .common import documents, let
 KEY = "surrogate-key-1"
 WIDTH = 9
 EXCEPTIONS_MOST = 20_000
+#: Maps are dealt into so many, as Spark searches a map from its start.
+BUCKETS = 1024
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Г-жа")
 _MALE = ("Mr", "Herr", "Monsieur", "Señor", "Г-н")
@@ -148,35 +155,74 @@ def _ip(m: Column) -> Column:
     return let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), of)
 
 
-def _name(m: Column, width: int, tries: Column) -> Column:
-    title = F.regexp_extract(m, rf"^{_TITLE} ", 0)
-    female = title.rlike("^(?:" + "|".join(_FEMALE) + r")\b")
-    male = title.rlike("^(?:" + "|".join(_MALE) + r")\b")
-    names = F.split(F.substring(m, F.length(title) + 1, F.length(m)), " ")
-    cyrillic = m.rlike(r"\p{IsCyrillic}+$")
+def _bare(m: Column) -> Column:
+    """A name without its title, in lower case: the entity."""
+    return F.lower(F.regexp_replace(m, rf"^{_TITLE} ", ""))
 
-    def given(word: Column) -> Column:
-        """By the title's gender; a title of neither draws the gender from the name."""
-        w = F.lower(word)
-        is_female = female | (~male & (_draw(2, F.lit("gender"), w) == 0))
-        return F.get(
-            F.when(is_female & cyrillic, _array(GIVEN["f", "cyrillic"])).when(is_female, _array(GIVEN["f", "latin"])).when(cyrillic, _array(GIVEN["m", "cyrillic"])).otherwise(_array(GIVEN["m", "latin"])),
-            _draw(16, F.lit("given"), w).cast("int"),
-        )
 
-    def surname(word: Column) -> Column:
-        table = F.when(cyrillic, _array(SYLLABLES["cyrillic"])).otherwise(_array(SYLLABLES["latin"]))
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(width // 2 + 1)), lambda i: F.get(table, _draw(32, F.lit("surname"), F.lower(word), tries, i).cast("int"))), ""))
+def _family(bare: Column) -> Column:
+    return F.regexp_extract(bare, r"\S+$", 0)
 
-    return F.concat(title, F.when(F.size(names) > 1, F.concat(given(F.get(names, 0)), F.lit(" "), surname(F.get(names, 1)))).otherwise(surname(F.get(names, 0))))
 
+def _given(bare: Column) -> Column:
+    """What comes before the surname; empty where nothing does."""
+    return F.rtrim(F.regexp_replace(bare, r"\S+$", ""))
 
-def surrogate(m: Column, width: int = WIDTH, tries: Column | None = None) -> Column:
-    """The replacement of a mention; `tries` counts how often its entity has drawn before."""
-    tries = F.lit(0) if tries is None else tries
+
+def _titled(m: Column, titles: tuple[str, ...]) -> Column:
+    return m.rlike("^(?:" + "|".join(titles) + r")\.? ")
+
+
+def _drawn_female(bare: Column) -> Column:
+    return _draw(2, F.lit("gender"), bare) == 0
+
+
+def _table(word: Column, cyrillic: list[str], latin: list[str]) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), _array(cyrillic)).otherwise(_array(latin))
+
+
+def _syllables(count: Column, *by) -> Column:
+    table = _table(by[1], SYLLABLES["cyrillic"], SYLLABLES["latin"])
+    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.get(table, _draw(32, *by, i).cast("int"))), ""))
+
+
+def _new_family(family: Column, width: int, tries: Column) -> Column:
+    return _syllables(F.lit(width // 2 + 1), F.lit("surname"), family, tries)
+
+
+def _new_given(given: Column, female: Column, width: int, tries: Column) -> Column:
+    """A listed name; where it was taken before or the letters are widened, with syllables, more each time."""
+    words = F.when(female, _table(given, GIVEN["f", "cyrillic"], GIVEN["f", "latin"])).otherwise(_table(given, GIVEN["m", "cyrillic"], GIVEN["m", "latin"]))
+    listed = F.get(words, _draw(16, F.lit("given"), given).cast("int"))
+    more = F.lit((width - WIDTH) // 2) + F.when(tries > 0, tries + 1).otherwise(0)
+    return F.when(more > 0, F.concat(listed, F.lit("-"), _syllables(F.greatest(more, F.lit(1)), F.lit("given more"), given, tries))).otherwise(listed)
+
+
+def _given_entity(female: Column, given: Column) -> Column:
+    return F.concat(F.when(female, "given:f:").otherwise("given:m:"), given)
+
+
+def _name(m: Column, width: int, tries: dict[str, int], genders: dict[str, int]) -> Column:
+    def of(bare: Column) -> Column:
+        family, given = _family(bare), _given(bare)
+        known = _looked_up(bare, genders)
+        female = _titled(m, _FEMALE) | (~_titled(m, _MALE) & F.when(known > 0, known == 1).otherwise(_drawn_female(bare)))
+        first = F.concat(_new_given(given, female, width, _looked_up(_given_entity(female, given), tries)), F.lit(" "))
+        return F.concat(F.when(given != "", first).otherwise(""), _new_family(family, width, _looked_up(F.concat(F.lit("family:"), family), tries)))
+
+    return F.concat(F.regexp_extract(m, rf"^{_TITLE} ", 0), let(_bare(m), of))
+
+
+def _email(m: Column, width: int, tries: Column) -> Column:
+    return F.concat(_letters(width, F.lower(m), tries), F.regexp_extract(m, r"[._]?\d*(?=@)", 0), F.lit("@example.org"))
+
+
+def surrogate(m: Column, width: int = WIDTH, tries: dict[str, int] | None = None, genders: dict[str, int] | None = None) -> Column:
+    """The replacement of a mention; `tries` counts how often an entity has drawn before, `genders` is 1 for female, 2 for male."""
+    tries, genders = tries or {}, genders or {}
     k = kind(m)
-    at = F.concat(_letters(width, F.lower(m), tries), F.regexp_extract(m, r"[._]?\d*(?=@)", 0), F.lit("@example.org"))
-    return F.when(k == "email", at).when(k == "ip", _ip(m)).when(k == "card", _number(m, True)).when(k == "name", _name(m, width, tries)).otherwise(_number(m, False))
+    at = _email(m, width, _looked_up(canonical(m), tries))
+    return F.when(k == "email", at).when(k == "ip", _ip(m)).when(k == "card", _number(m, True)).when(k == "name", _name(m, width, tries, genders)).otherwise(_number(m, False))
 
 
 def hinted(text: Column) -> Column:
@@ -191,51 +237,72 @@ def mentions(text: Column) -> Column:
     return F.when(hinted(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def exceptions(df: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
-    """The width to draw letters with, and the entities that must draw again, with their number of tries.
+def exceptions(df: DataFrame, text: str = "text") -> tuple[int, dict[str, int], dict[str, int]]:
+    """The width to draw letters with, the entities that must draw again, with their number of tries,
+    and the genders of full names that are known from other mentions only.
 
-    Only addresses and surnames can collide; numbers are permuted. A name's entity here is its surname.
+    Only addresses, surnames and given names can collide; numbers are permuted.
     """
-    found = df.select(F.explode(mentions(F.col(text))).alias("m")).where(kind(F.col("m")).isin("email", "name"))
-    surname = F.concat(F.regexp_extract("m", rf"^{_TITLE} ", 0), F.regexp_extract("m", r"\S+$", 0))
-    found = found.select(F.when(kind(F.col("m")) == "name", surname).otherwise(F.col("m")).alias("m"))
-    known = found.select(canonical(F.col("m")).alias("c"), "m").groupBy("c").agg(F.min("m").alias("m")).persist()
+    found = df.select(F.explode(mentions(F.col(text))).alias("m")).select("m", kind(F.col("m")).alias("k")).where("k IN ('email', 'name')")
+    # one row for each address and full name: under which titles it is met, and the spelling that is least
+    c, female, male = canonical(F.col("m")), _titled(F.col("m"), _FEMALE), _titled(F.col("m"), _MALE)
+    entities = found.groupBy(c.alias("c"), "k").agg(F.min("m").alias("m"), F.max(female).alias("f"), F.max(male).alias("l"), F.max(~female & ~male).alias("n")).persist()
     try:
-        width, tries = WIDTH, {}
-        while True:
-            again = _colliding(known, width, tries)
-            rows = again.limit(EXCEPTIONS_MOST + 1).collect()
-            if len(rows) + len(tries) > EXCEPTIONS_MOST:
-                width, tries = width + 4, {}
-                continue
-            if not rows:
-                return width, tries
-            tries = tries | {r.c: tries.get(r.c, 0) + 1 for r in rows}
+        names = entities.where("k = 'name'").withColumn("bare", F.expr("substring(c, 6)")).withColumn("given", _given(F.col("bare"))).withColumn("drawn", _drawn_female(F.col("bare")))
+        other = names.where("n AND given <> '' AND f <> l AND f <> drawn").select("bare", "f").collect()
+        genders = {r.bare: 1 if r.f else 2 for r in other}
+        alone = F.when(F.col("f") != F.col("l"), F.col("f")).otherwise(F.col("drawn"))
+        both = F.array_distinct(F.filter(F.array(F.when(F.col("f"), True), F.when(F.col("l"), False), F.when(F.col("n"), alone)), lambda x: x.isNotNull()))
+        given = names.where("given <> ''").select(F.col("given").alias("word"), F.explode(both).alias("female")).distinct()
+        family = names.select(_family(F.col("bare")).alias("word")).distinct()
+        known = entities.where("k = 'email'").select("c", F.col("m").alias("word"), F.lit(False).alias("female"))
+        known = known.union(family.select(F.concat(F.lit("family:"), F.col("word")), "word", F.lit(False)))
+        known = known.union(given.select(_given_entity(F.col("female"), F.col("word")), "word", "female")).persist()
+        try:
+            width, tries = WIDTH, {}
+            while True:
+                again = _colliding(known, width, tries)
+                rows = again.limit(EXCEPTIONS_MOST + 1).collect()
+                if len(rows) + len(tries) > EXCEPTIONS_MOST:
+                    width, tries = width + 4, {}
+                    continue
+                if not rows:
+                    return width, tries, genders
+                tries = tries | {r.c: tries.get(r.c, 0) + 1 for r in rows}
+        finally:
+            known.unpersist()
     finally:
-        known.unpersist()
+        entities.unpersist()
 
 
 def _colliding(known: DataFrame, width: int, tries: dict[str, int]) -> DataFrame:
-    drawn = known.withColumn("s", canonical(surrogate(F.col("m"), width, _tries(F.col("c"), tries))))
+    c, word, n = F.col("c"), F.col("word"), _looked_up(F.col("c"), tries)
+    new = F.when(c.startswith("given:"), F.concat(F.substring(c, 1, 8), F.lower(_new_given(word, F.col("female"), width, n))))
+    new = new.when(c.startswith("family:"), F.concat(F.lit("family:"), F.lower(_new_family(word, width, n)))).otherwise(F.concat(F.lit("email:"), F.lower(_email(word, width, n))))
+    drawn = known.withColumn("s", new)
     least = drawn.groupBy("s").agg(F.min("c").alias("first"), F.count("*").alias("n")).where("n > 1").select("s", "first")
     shared = drawn.join(least, "s").where("c <> first").select("c")
-    return shared.union(drawn.join(known.select(F.col("c").alias("s")), "s", "left_semi").select("c")).distinct()
+    met = drawn.where(~c.startswith("given:")).join(known.select(c.alias("s")), "s", "left_semi").select("c")
+    return shared.union(met).distinct()
 
 
-def _tries(c: Column, tries: dict[str, int]) -> Column:
-    if not tries:
+def _looked_up(c: Column, table: dict[str, int]) -> Column:
+    """The number of `c` in the table, else 0."""
+    if not table:
         return F.lit(0)
-    table = F.from_json(F.lit(json.dumps(tries)), "map<string,int>")
-    return F.coalesce(F.try_element_at(table, c), F.lit(0))
+    dealt: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for k, n in table.items():
+        dealt[zlib.crc32(k.encode()) % BUCKETS][k] = n
+    maps = F.from_json(F.lit(json.dumps(dealt)), "array<map<string,int>>")
+    return F.coalesce(F.try_element_at(F.get(maps, (F.crc32(c.cast("binary")) % BUCKETS).cast("int")), c), F.lit(0))
 
 
 def pseudonymized(df: DataFrame, text: str = "text") -> DataFrame:
     """The same rows with surrogates in `text`, and `mentions`: the kinds found, in order."""
-    width, tries = exceptions(df, text)
+    width, tries, genders = exceptions(df, text)
 
     def replace(m: Column) -> Column:
-        name = F.concat(F.lit("name:"), F.lower(F.regexp_extract(m, r"\S+$", 0)))
-        return surrogate(m, width, _tries(F.when(kind(m) == "name", name).otherwise(canonical(m)), tries))
+        return surrogate(m, width, tries, genders)
 
     found = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
     gaps = F.split(F.col(text), ANY, -1)

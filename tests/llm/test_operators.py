@@ -102,6 +102,24 @@ def test_surrogates(spark):
     assert op9_pii.pseudonymized(many).select("text").distinct().count() == 3000
 
 
+def surrogates(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in op9_pii.pseudonymized(df).orderBy("doc_id").collect()]
+
+
+def test_given_names_stay_distinct_and_keep_their_gender(spark):
+    words = [f"{a}{b}{c}" for a in ("Jo", "Pe", "Ma", "Ka", "Lu") for b in ("han", "tri", "ren") for c in ("a", "o", "e", "us")]
+    rows = surrogates(spark, [f"Mr {w} Smith" for w in words] + [f"Mrs {w} Smith" for w in words] + [f"Dr {w} Miller and Mr. {w} Miller or Prof. {w} Miller, Dr {w} Berg, Mrs {w} Berg" for w in words])
+    n = len(words)
+    assert len(set(rows[:n])) == n and len({x.split(" ", 1)[1] for x in rows[: 2 * n]}) == 2 * n
+    assert len({x.split()[-1] for x in rows[: 2 * n]}) == 1
+    for x in rows[2 * n :]:
+        a, b, c, d, e = (y.split(" ", 1)[1] for y in x.replace(" and ", ", ").replace(" or ", ", ").split(", "))
+        assert a == b == c and d == e and a.split()[0] != d.split()[0]
+    assert all(x.split()[1].split("-")[0] in op9_pii.GIVEN["m", "latin"] for x in rows[:n])
+    assert all(x.split()[1].split("-")[0] in op9_pii.GIVEN["f", "latin"] for x in rows[n : 2 * n])
+
+
 def test_media_inspection(docs):
     got = op8_media.inspect(op8_media.media(docs)).collect()
     assert all(r.width % 8 == 0 and r.thumbnail_hash for r in got)
