@@ -1,7 +1,7 @@
 """Operator 9: surrogates for personal data, in DataFrame functions only.
 
 One regular expression finds e-mail addresses, IPv4 addresses, phone and national numbers, card
-numbers, and names after a title. Each entity has a canonical form (lower case; digits only for
+numbers, and names after a title: all their words, initials and particles up to the last name. Each entity has a canonical form (lower case; digits only for
 numbers), and its surrogate is a function of a key, the kind and the canonical form, so one entity
 has one surrogate wherever and however it is written, and the way it is written stays: separators,
 brackets, country code, letter case, title.
@@ -48,9 +48,19 @@ EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 PHONE = r"(?<![\d+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.+-])\d{3}[-. ]\d{2,3}[-. ]\d{4}(?![\d-])"
 CARD = r"(?<!\d)\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?!\d)|(?<!\d)\d{13,19}(?!\d)"
-NAME = rf"\b{_TITLE} \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?"
+_TITLES = rf"(?:{_TITLE} )+"
+#: A name word runs to the end of its letters, with apostrophes and hyphens between them, but without a genitive's 's.
+_LINK = r"['’-](?!s(?![\p{L}\p{M}]))"
+_WORD = rf"(?!{_TITLE}(?![\p{{L}}\p{{M}}]))\p{{Lu}}(?=[\p{{L}}\p{{M}}]|{_LINK}\p{{L}})[\p{{L}}\p{{M}}]*+(?:{_LINK}\p{{L}}[\p{{L}}\p{{M}}]*+)*+"
+_INITIAL = r"(?:(?:\p{Lu}\.-?)++|\p{Lu}(?= \p{Lu}))"
+_PARTICLE = "(?:van|von|vom|der|den|de|del|della|di|da|do|dos|das|du|des|la|las|le|los|el|al|bin|ibn|bint|ben|ten|ter|te|zu|zum|zur|af|av|of|y|фон|де|ван|дер)"
+_FAMILY = rf"(?:{_PARTICLE} )*+(?:(?:d|l|dell|dall|al|el)['’-])?{_WORD}"
+#: Any number of names and initials, up to the last name.
+NAME = rf"(?<![\p{{L}}\p{{M}}\p{{N}}_]){_TITLES}(?:{_INITIAL} )*+{_FAMILY}(?:(?: {_INITIAL})*+ {_FAMILY})*+"
 ANY = "|".join((EMAIL, IP, CARD, PHONE, NAME))
 
+_LAST = rf"(?<!\S)(?:{_PARTICLE} )*+\S+$"
+
 #: Given names by gender and script, and syllables of surnames by script.
 GIVEN = {
     ("f", "latin"): "Alma Berta Clara Dora Elena Flora Greta Helena Irma Julia Klara Laura Marta Nora Olga Paula".split(),
@@ -113,7 +123,7 @@ def kind(m: Column) -> Column:
 def canonical(m: Column) -> Column:
     """The kind and the form in which all mentions of an entity agree."""
     k = kind(m)
-    bare = F.when(k.isin("card", "phone"), F.regexp_replace(m, r"\D", "")).when(k == "name", F.lower(F.regexp_replace(m, rf"^{_TITLE} ", ""))).otherwise(F.lower(m))
+    bare = F.when(k.isin("card", "phone"), F.regexp_replace(m, r"\D", "")).when(k == "name", _bare(m)).otherwise(F.lower(m))
     return F.concat(k, F.lit(":"), bare)
 
 
@@ -157,20 +167,21 @@ def _ip(m: Column) -> Column:
 
 def _bare(m: Column) -> Column:
     """A name without its title, in lower case: the entity."""
-    return F.lower(F.regexp_replace(m, rf"^{_TITLE} ", ""))
+    return F.lower(F.regexp_replace(m, f"^{_TITLES}", ""))
 
 
 def _family(bare: Column) -> Column:
-    return F.regexp_extract(bare, r"\S+$", 0)
+    """The last word with the particles before it."""
+    return F.regexp_extract(bare, _LAST, 0)
 
 
 def _given(bare: Column) -> Column:
     """What comes before the surname; empty where nothing does."""
-    return F.rtrim(F.regexp_replace(bare, r"\S+$", ""))
+    return F.rtrim(F.regexp_replace(bare, _LAST, ""))
 
 
 def _titled(m: Column, titles: tuple[str, ...]) -> Column:
-    return m.rlike("^(?:" + "|".join(titles) + r")\.? ")
+    return F.regexp_extract(m, f"^{_TITLES}", 0).rlike(r"(?:^| )(?:" + "|".join(titles) + r")\.? ")
 
 
 def _drawn_female(bare: Column) -> Column:
@@ -210,7 +221,7 @@ def _name(m: Column, width: int, tries: dict[str, int], genders: dict[str, int])
         first = F.concat(_new_given(given, female, width, _looked_up(_given_entity(female, given), tries)), F.lit(" "))
         return F.concat(F.when(given != "", first).otherwise(""), _new_family(family, width, _looked_up(F.concat(F.lit("family:"), family), tries)))
 
-    return F.concat(F.regexp_extract(m, rf"^{_TITLE} ", 0), let(_bare(m), of))
+    return F.concat(F.regexp_extract(m, f"^{_TITLES}", 0), let(_bare(m), of))
 
 
 def _email(m: Column, width: int, tries: Column) -> Column:

@@ -1,5 +1,7 @@
 """The operators on small tables: brute force, nulls, empty tables, repeated rows, other columns."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +122,26 @@ def test_given_names_stay_distinct_and_keep_their_gender(spark):
     assert all(x.split()[1].split("-")[0] in op9_pii.GIVEN["f", "latin"] for x in rows[n : 2 * n])
 
 
+def test_whole_names_are_replaced(spark):
+    names = ["Mr. McDonald", "Mrs Smith-Jones", "Mr John O'Brien", "Dr John A. Smith", "Mr Peter van der Berg", "Prof. Dr. Eva Maria von Hohenfels", "Ms J. R. R. Tolkien", "Mr J.R. Ewing",
+             "Mr Juan Carlos García López", "Dr John A Smith", "Herr D’Angelo", "Mr SMITH", "Mme d'Arcy", "Mr de la Cruz", "Г-жа Анна Петрова"]
+    after = [" came.", ", who", "'s hat", "", " (x)", "\nNext Line"]
+    rows = surrogates(spark, [f"Then {x}{y}" for x in names for y in after])
+    for i, x in enumerate(rows):
+        name, end = names[i // len(after)], after[i % len(after)]
+        title = re.match(r"(?:(?:Mrs?|Ms|Dr|Prof|Herr|Mme|Г-жа)\.? )+", name)[0]
+        assert x.startswith(f"Then {title}") and x.endswith(end), (name, x)
+        new = x[len(f"Then {title}") : len(x) - len(end)]
+        for word in name[len(title) :].replace("-", " ").replace("'", " ").replace("’", " ").split():
+            assert word.strip(".").lower() not in new.lower().replace("-", " ").split(), (name, x)
+        assert all(w[0].isupper() and w.replace("-", "").isalpha() for w in new.split()) and 1 <= len(new.split()) <= 2, (name, x)
+    rows = surrogates(spark, ["Mr Smith and Mrs Jones met Mr. Smith's dog", "Mrs Smith I saw", "Mr Peter Berg, Mr Peter van der Berg"])
+    a = rows[0].split()
+    assert a[2:3] == ["and"] and a[8:] == ["dog"] and a[7] == f"{a[1]}'s" and rows[1].endswith(" I saw")
+    b, c = rows[2].split(", ")
+    assert b.split()[1] == c.split()[1] and b.split()[2] != c.split()[2]
+
+
 def test_media_inspection(docs):
     got = op8_media.inspect(op8_media.media(docs)).collect()
     assert all(r.width % 8 == 0 and r.thumbnail_hash for r in got)
