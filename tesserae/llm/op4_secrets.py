@@ -45,13 +45,19 @@ BASE = (
 )
 #: Formats that the method adds.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # the whole key: to its END line, or to the text's end where it has none
+    Rule("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.I),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("map", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9._~+/-]{20,}", re.I),
-    Rule("login", r"://[^\s/:@]{1,64}:[^\s/:@]{1,64}@"),
+    Rule("login", r"://[^\s/:@]+:[^\s/:@]+@"),
+    Rule("sk", r"(?<![A-Za-z0-9])sk-[A-Za-z0-9_-]{16,}"),
+    Rule("github", r"(?<![A-Za-z0-9])github_pat_[A-Za-z0-9_]{20,}"),
+    Rule("gitlab", r"(?<![A-Za-z0-9])glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("npm", r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{20,}"),
+    Rule("thm", r"(?<![A-Za-z0-9])thm_(?:[A-Za-z0-9_.-]{1,200}_[A-Za-z0-9_-]{43}(?![A-Za-z0-9_-])|[A-Za-z0-9_-]{44,})"),
 )
 RULES = BASE + MORE
 

@@ -63,6 +63,26 @@ def test_secrets_against_plain_search():
     assert op4_secrets.redact("a token=abcdef b", op4_secrets.find(["a token=abcdef b"])[0]) == "a [REDACTED:assign] b"
 
 
+def test_whole_secrets_are_redacted():
+    body = "\n".join("MIIEvQIBADANBgkqhkiG9w0BAQEFAASC" + str(i) for i in range(30))
+    for kind in ("", "RSA ", "ENCRYPTED ", "X25519 "):
+        key = f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+        texts = [f"a\n{key}\nb {key} c", f"a {key[:-40]}"]
+        got = [op4_secrets.redact(x, s) for x, s in zip(texts, op4_secrets.find(texts), strict=True)]
+        assert got == ["a\n[REDACTED:pem]\nb [REDACTED:pem] c", "a [REDACTED:pem]"]
+    secrets = {
+        "sk": ["sk-" + "aB3_" * 5, "sk-proj-" + "aB3-" * 9], "github": ["github_pat_" + "aB3_" * 20], "gitlab": ["glpat-" + "aB3-" * 5], "npm": ["npm_" + "aB3x" * 9],
+        "thm": ["thm_" + "aB3-" * 11, "thm_a.b-c_" + "aB3-" * 10 + "xyz"],
+    }
+    for kind, found in secrets.items():
+        for x in found:
+            assert op4_secrets.redact(f"see {x}, b", op4_secrets.find([f"see {x}, b"])[0]) == f"see [REDACTED:{kind}], b"
+    for n in (1, 64, 65, 5000):
+        x = f"postgres://{'u' * n}:{'pQ-' * n}@host/db"
+        assert op4_secrets.redact(x, op4_secrets.find([x])[0]) == "postgres[REDACTED:login]host/db"
+    assert op4_secrets.find(["task-" + "a-" * 20, "-----BEGIN PUBLIC KEY-----", "http://a:80/b"]) == [[], [], []]
+
+
 def test_trigram_queries_admit_every_match():
     assert trigrams.query(r"[0-9a-f]{24,}") is True
     assert trigrams.query(r"AKIA[A-Z]+") == ("and", "aki", "kia")
