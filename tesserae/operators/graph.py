@@ -22,30 +22,48 @@ def traverse(links: DataFrame, starts: DataFrame, depth: int = 2, relations: lis
     return seen.where("depth > 0")
 
 
-def chain(rows: DataFrame, start: int, most: int = 64) -> DataFrame:
-    """The supersession chain through a row, oldest first: (id, position). `rows`: (id, supersedes_id)."""
+def chain(rows: DataFrame, start: int) -> DataFrame:
+    """The supersession chain through a row, oldest first: (id, position). `rows`: (id, supersedes_id).
+
+    Steps are doubled each round, until a round meets no new id; a chain that comes back to itself ends there.
+    """
     spark = rows.sparkSession
-    name = "chain_rows"
-    rows.createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE back(id, step) AS (
-          SELECT CAST({int(start)} AS BIGINT), 0 UNION ALL
-          SELECT r.supersedes_id, b.step - 1 FROM back b JOIN {name} r ON r.id = b.id WHERE r.supersedes_id IS NOT NULL AND b.step > -{most}),
-        forth(id, step) AS (
-          SELECT CAST({int(start)} AS BIGINT), 0 UNION ALL
-          SELECT r.id, f.step + 1 FROM forth f JOIN (SELECT supersedes_id, min(id) AS id FROM {name} GROUP BY 1) r ON r.supersedes_id = f.id WHERE f.step < {most}),
-        both_ways AS (SELECT id, min(step) AS step FROM (SELECT * FROM back UNION SELECT * FROM forth) GROUP BY id)
-        SELECT id, row_number() OVER (ORDER BY step) AS position FROM both_ways""")
-
-
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """Rows of (id, component) for links (a, b) by minimum labels; for graphs whose labels settle in `rounds`."""
+    durable(spark)
+    rows = rows.where("supersedes_id IS NOT NULL")
+    back = rows.select(F.lit(-1).alias("way"), "id", F.col("supersedes_id").alias("to"))
+    forth = rows.groupBy(F.col("supersedes_id").alias("at")).agg(F.min("id").alias("to")).select(F.lit(1), "at", "to")
+    jump = back.union(forth).distinct().checkpoint()
+    seen = spark.createDataFrame([(way, int(start), 0) for way in (-1, 1)], "way int, id long, far long")
+    length = 1
+    while True:
+        met = seen.join(jump, ["way", "id"]).groupBy("way", F.col("to").alias("id")).agg((F.min("far") + length).alias("far"))
+        new = met.join(seen.select("way", "id"), ["way", "id"], "left_anti").checkpoint()
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+        after = jump.select("way", F.col("id").alias("to"), F.col("to").alias("_to"))
+        jump = jump.join(after, ["way", "to"]).select("way", "id", F.col("_to").alias("to")).distinct().checkpoint()
+        length *= 2
+    both_ways = seen.groupBy("id").agg(F.min(F.col("way") * F.col("far")).alias("step"))
+    return both_ways.select("id", F.row_number().over(W.orderBy("step", "id")).alias("position"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Rows of (id, component) for links (a, b) by minimum labels, until no label changes.
+
+    A node takes the least label near it, so does the node that its label names, and labels jump to their own labels.
+    """
     durable(links.sparkSession)
     edges = links.select("a", "b").union(links.select("b", "a")).distinct().persist()
     labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels, edges.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("n"))
-        step = labels.join(near, "id").select("id", F.least("component", "n").alias("component"), (F.col("n") < F.col("component")).alias("moved")).checkpoint()
+        met = labels.join(near, "id")
+        hooked = met.select(F.col("component").alias("id"), F.lit(None).cast("long").alias("component"), F.col("n").alias("to"))
+        step = met.select("id", "component", F.least("component", "n").alias("to")).union(hooked)
+        step = step.groupBy("id").agg(F.max("component").alias("component"), F.min("to").alias("to"))
+        further = labels.select(F.col("id").alias("to"), F.col("component").alias("further"))
+        step = step.join(further, "to").select("id", F.least("to", "further").alias("component"), (F.least("to", "further") < F.col("component")).alias("moved")).checkpoint()
         labels = step.drop("moved")
         if step.where("moved").isEmpty():
             break
