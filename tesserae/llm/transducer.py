@@ -8,9 +8,9 @@ far relative to now. That is a state; a transition reads a character and is anno
 change of the number of tokens. States and transitions are compiled when first met and interned,
 so a common word is a walk over integers.
 
-A chunk of text maps states to states and adds a count. Such maps compose associatively, so the
-maps of a text's chunks are combined by a prefix scan. A chunk at a cut that no token spans maps
-every state alike; the blocks of a long unbroken run are maps proper, by entry state.
+A chunk of text maps states to states and adds a count. A chunk at a cut that no token spans maps
+every state alike, so the counts of a text's chunks are summed. The blocks of a long unbroken run are
+maps proper, by entry state; they are asked for the one start state only, one after the other.
 """
 
 from __future__ import annotations
