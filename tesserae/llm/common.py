@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +43,39 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet to the shared folder and read it back.
 
-    Lost executors lose none of it, and every later reader sees the same rows.
+    Lost executors lose none of it, and every later reader sees the same rows. `release` deletes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what `materialize` wrote, once nothing that is still to run reads it."""
+    for df in written:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 1024, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of limited rows and bytes, one row at least."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(size)])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def map_batches(df: DataFrame, schema: str, fn: Callable[..., list], *args) -> DataFrame:
-    """Apply `fn(columns as lists, *args) -> list of result columns` to Arrow batches."""
+    """Apply `fn(columns as lists, *args) -> list of result columns` to Arrow batches, cut to a few MB of text."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -58,23 +83,41 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[..., list], *args) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for part in _parts(batch):
                 out = fn(*[c.to_pylist() for c in part.columns], *args)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
     return df.mapInArrow(run, schema)
 
 
-#: Ids that are broadcast at most (8 bytes each) to pick or drop rows; beyond, they are joined by shuffle.
-IDS_MOST = 500_000
+#: Ids that are broadcast at most (8 bytes each) to pick or drop rows; beyond, a bitmap of at most
+#: BITMAP words (16 bytes each) sorts out most rows before the rest are joined by shuffle.
+IDS_MOST, BITMAP = 500_000, 1 << 20
+
+
+def _bitmap(ids: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What joins a broadcast bitmap of hashed ids to rows, as a column `bits_` that is 0 where no id can match."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP * 64))
+    bit = F.expr("shiftleft(1L, cast(place_ % 64 as int))")
+    words = ids.select(place.alias("place_")).groupBy(F.expr("cast(place_ div 64 as int)").alias("word_")).agg(F.bit_or(bit).alias("set_"))
+    words = materialize(words, "bitmap")
+
+    def joined(df: DataFrame) -> DataFrame:
+        df = df.withColumn("place_", place).withColumn("word_", F.expr("cast(place_ div 64 as int)"))
+        return df.join(F.broadcast(words), "word_", "left").withColumn("bits_", F.coalesce(F.col("set_").bitwiseAND(bit), F.lit(0)))
+
+    return joined
 
 
 def picked(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of `df` whose doc_id is in `ids`, without moving `df` while the ids are few."""
+    """The rows of `df` whose doc_id is in `ids`, without moving most of `df`."""
     ids = materialize(ids.distinct(), "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= IDS_MOST else ids, "doc_id", how)
+    if ids.count() <= IDS_MOST:
+        return df.join(F.broadcast(ids), "doc_id", how).select(*df.columns)
+    marked = _bitmap(ids)(df.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row_")))
+    found = marked.where("bits_ <> 0").join(ids, "doc_id", how).select("row_.*")
+    return found if how == "left_semi" else marked.where("bits_ = 0").select("row_.*").unionByName(found)
 
 
 def without(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return picked(df, ids, "left_anti").select(*df.columns)
+    return picked(df, ids, "left_anti")

@@ -2,52 +2,63 @@
 
 Documents are sets of five-word shingles; two link when their Jaccard similarity is 0.8 or more.
 Every link is found (no cap on partners or candidates), though not every pair is written: the
-result is one row for each document with its component.
-
-1. Sets are digested; equal sets are one class, linked without pairs.
-2. Small sets are joined on hashes of their fixed-size subsets: sets of a and b shingles that
-   link share a subset of ceil(4 (a + b) / 9). Up to which size, `small_limit` decides: as long
-   as enumerating a set's subsets costs less than scanning its lists would.
-3. Large sets (and small ones that may link with them) are joined on inverted lists over the
-   first floor(n / 5) + 1 shingles of each set in one global order; links share one of these.
-   The order puts heavy shingles, those in over HEAVY lists, last, so passages that many
-   documents share leave the lists. Heavy ones are counted over all documents in rounds; any
-   order is exact, so when there would be too many to broadcast the threshold is raised.
-4. Groups of near copies are joined first, in linear cost: every document is compared with one
-   pivot for each of its first STAR entries. What links then is a component already, and the
-   lists need only pairs across components; a list inside one component gives none.
-5. Such pairs are counted over the lists. A link's two documents share so many entries that most
-   of it can't lie outside them, which leaves few pairs to be verified on the exact sets.
-
-Hot lists are combined before shuffles (counts, minima) or split by skew joins; lists meet by
-component, so a group of copies never meets itself. Stages that are read twice are written to
-the shared folder.
+result is one row for each document with its component. Equal sets are one class by their digest.
+
+1. Prune. In order of hash, each set sends its first n - ceil(0.8 n) + ceil(0.1 n) shingles to
+   buckets of the hash space. Linked sets have at least ceil(0.1 n) of these in common, so a set
+   of which fewer are met by any other set links with nothing. Most documents end here. A worker
+   sends a shingle once for a block of documents, however many of them hold it.
+2. Of what is left, only shingles of two or more sets count. Each set keeps them, the rarest
+   first; sets that have less than 0.8 n of them go.
+3. Small sets: sets of a and b shingles that link share a subset of ceil(4 (a + b) / 9); all
+   subsets of these sizes are enumerated, and sets that share one link without further checks.
+   The boundary is chosen by cost, from the measured lengths of the lists that small sets would
+   scan against the number of their subsets.
+4. Groups of near copies: sets are grouped by STAR min-hashes, and each is compared with its
+   group's pivot, the set with the least shingles of its own. Linear; what links is a component.
+5. Large sets: inverted lists over the first shingles of each set. Lists of one component are
+   dropped; what remains of a list meets by component and by bands of set size, and then by
+   documents, each time only where enough shingles follow on both sides for a link. The few pairs
+   that pass are intersected.
+
+Shingles are told apart by 64-bit hashes and sets by 128-bit digests. Stages that are read twice are written to
+the shared folder and deleted at the end. `df` must give the same rows in the same order when it
+is read again, as files do.
 
 Null or empty texts have empty sets and link with nothing, each its own component. Repeated rows
-with one doc_id give one row each. Rows with a null doc_id are kept with n_shingles and a null
-component. Texts of any length are one set. An empty table gives an empty result.
+with one doc_id give one row each, and each links by its own text. Rows with a null doc_id are
+kept with n_shingles and a null component. Texts of any length are one set. Other columns don't
+matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
-from math import comb
+from collections.abc import Callable, Iterator
+from math import comb, log
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IDS_MOST, documents, map_batches, materialize, picked
+from .common import documents, map_batches, materialize, picked, release
 from .components import components
-from .shingles import digest, shingles, subsets
+from .shingles import digest, mix, sets, subsets
 
-HEAVY = 40
-#: Heavy shingles that are broadcast at most (8 bytes each); beyond, the threshold is doubled.
-HEAVY_MOST = 1_000_000
-ROUNDS = 5
+#: Shingles and documents of a block; bytes of a bucket and of a task's buckets, about.
+BLOCK, BLOCK_DOCS, BUCKET, TASK = 1 << 20, (1 << 16) - 1, 1 << 25, 1 << 26
+#: Bytes sent for a byte of text, about.
+SENT = 0.4
 STAR = 4
-#: The entries of a list that a set is taken to meet, for the choice between subsets and lists.
-LIST_COST = 8
+#: Sets above this size are never enumerated.
+SMALL_MOST = 24
+BAND = log(1.05)
+_PIECES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("marks", pa.binary()), ("refs", pa.binary()), ("docs", pa.binary())])
+_DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<i4"), ("k1", "<i8"), ("k2", "<i8"), ("met", "<i4")])
+_MET = pa.schema([("ref", pa.int64()), ("met", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())])
+_MET_DDL = "ref long, met int, doc_id long, n int, k1 long, k2 long"
+#: In a piece: the shingle is in more than one document of the block, which knows that already.
+MANY = 0xFFFF
 
 
 def overlap(a: int, b: int) -> int:
@@ -61,197 +72,294 @@ def subset_sizes(n: int) -> list[int]:
     return sorted(c for c in sizes if c <= n and (c < n or 5 * n // 4 > n))
 
 
-def prefix(n: int) -> int:
-    return n - -(-4 * n // 5) + 1
-
-
-def small_limit(most: int = 32) -> int:
-    """The largest size whose subsets are enumerated."""
-    n = 1
-    while n < most and sum(comb(n + 1, c) for c in subset_sizes(n + 1)) <= LIST_COST * prefix(n + 1):
-        n += 1
-    return n
-
-
-SMALL = small_limit()
-
+def wanted(n: int) -> int:
+    """How many of a set's sent shingles others must have."""
+    return -(-n // 10)
+
+
+def sent(n: int) -> int:
+    return min(n, n - -(-4 * n // 5) + wanted(n))
+
+
+class _Block:
+    """Sets of some documents, and what they send."""
+
+    def __init__(self, number: int):
+        self.number, self.docs, self.first, self.seen = number, [], [], set()
+        self.size = 0
+
+    def add(self, key: int | None, s: np.ndarray) -> None:
+        k = digest(s)
+        new = key is not None and len(s) > 0 and k not in self.seen
+        self.docs.append((key is not None, key or 0, len(s), *k, 0 if new else -1))
+        self.first.append(s[: sent(len(s))] if new else s[:0])
+        self.size += len(self.first[-1])
+        if new:
+            self.seen.add(k)
+
+    def full(self) -> bool:
+        return self.size >= BLOCK or len(self.docs) >= BLOCK_DOCS
+
+    def pieces(self, bits: int) -> pa.RecordBatch:
+        docs = np.array(self.docs, _DOC)
+        marks = mix(np.concatenate(self.first) ^ np.uint64(0x5851F42D4C957F2D))
+        refs = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(x) for x in self.first])
+        order = np.argsort(marks)
+        marks, refs = marks[order], refs[order]
+        same = marks[1:] == marks[:-1]
+        first, last = np.concatenate([[True], ~same]), np.concatenate([~same, [True]])
+        first, last = first[: len(marks)], last[: len(marks)]
+        docs["met"] += np.bincount(refs[~(first & last)], minlength=len(docs)).astype(np.int32)
+        marks, refs = marks[first], np.where(last, refs, MANY)[first].astype(np.uint16)
+        buckets = (marks >> np.uint64(64 - bits)).astype(np.int64)
+        marks = (marks << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+        cut = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]])) if len(buckets) else np.zeros(0, np.int64)
+        ends = [*cut[1:].tolist(), len(buckets)]
+        parts = list(zip(cut.tolist(), ends, strict=False))
+        columns = [
+            [*buckets[cut].tolist(), self.number % (1 << bits)],
+            [self.number] * (len(parts) + 1),
+            [*[marks[a:b].tobytes() for a, b in parts], None],
+            [*[refs[a:b].tobytes() for a, b in parts], None],
+            [*[None] * len(parts), docs.tobytes()],
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
+
+
+def _sender(bits: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 20
+        block = _Block(number)
+        for batch in batches:
+            for key, s in zip(batch.column(0).to_pylist(), sets(batch.column(1)), strict=True):
+                block.add(key, s)
+                if block.full():
+                    yield block.pieces(bits)
+                    number += 1
+                    block = _Block(number)
+        if block.docs:
+            yield block.pieces(bits)
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents, and how many of a document's shingles a bucket has from other blocks too."""
+
+    def met(held: list) -> Iterator[pa.RecordBatch]:
+        marks = np.concatenate([np.frombuffer(m, np.uint32) for _, m, _ in held])
+        refs = np.concatenate([(np.frombuffer(r, np.uint16).astype(np.int64) | (block << 16)) for block, _, r in held])
+        order = np.argsort(marks)
+        marks, refs = marks[order], refs[order]
+        same = marks[1:] == marks[:-1]
+        both = np.zeros(len(marks), bool)
+        both[1:] |= same
+        both[:-1] |= same
+        refs, counts = np.unique(refs[both & (refs & 0xFFFF != MANY)], return_counts=True)
+        nothing = [pa.nulls(len(refs), f.type) for f in _MET][2:]
+        yield pa.RecordBatch.from_arrays([pa.array(refs), pa.array(counts.astype(np.int32)), *nothing], schema=_MET)
+
+    held, bucket = [], None
+    for batch in batches:
+        for at, block, marks, refs, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and at != bucket:
+                yield from met(held)
+                held = []
+            bucket = at
+            if raw is None:
+                held.append((block, marks, refs))
+            else:
+                docs = np.frombuffer(raw, _DOC)
+                ids = pa.array(docs["doc_id"], mask=docs["known"] == 0)
+                counts = pa.array(docs["met"], mask=docs["met"] < 0)
+                ref = np.arange(len(docs), dtype=np.int64) | (block << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(ref), counts, ids, *[pa.array(np.ascontiguousarray(docs[c])) for c in ("n", "k1", "k2")]], schema=_MET)
+    if held:
+        yield from met(held)
+
+
+def sets_met(df: DataFrame) -> DataFrame:
+    """A row for each row of `df`: doc_id, n, k1, k2 and `met`, the sent shingles that other sets have (null for a copy)."""
+    spark = df.sparkSession
+    size = SENT * (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    bits = max(8, int(np.ceil(np.log2(1 + size / BUCKET))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / TASK))
+    pieces = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sender(bits), "bucket int, block long, marks binary, refs binary, docs binary")
+    rows = pieces.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _MET_DDL)
+    return rows.groupBy("ref").agg(*[F.max(c).alias(c) for c in ("doc_id", "n", "k1", "k2")], F.sum("met").alias("met")).drop("ref")
+
+
+def _tokens(df: DataFrame) -> DataFrame:
+    """Rows of (k, n, tokens) of the given documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush():
+            values = pa.array(np.concatenate(held).view(np.int64))
+            at = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in held])]).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array([digest(s)[0] for s in held], pa.int64()), pa.array([len(s) for s in held], pa.int32()), pa.ListArray.from_arrays(at, values)], names=["k", "n", "tokens"])
+
+        held, size = [], 0
+        for batch in batches:
+            for s in sets(batch.column(0)):
+                held.append(s)
+                size += len(s)
+                if size >= BLOCK:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return df.select("text").mapInArrow(run, "k long, n int, tokens array<long>")
+
+
+def needed(n: str | Column) -> Column:
+    """The shingles that a set of n has in common with any set that it links with."""
+    return F.ceil(F.col(n) * 4 / 5) if isinstance(n, str) else F.ceil(n * 4 / 5)
+
+
+def shared_tokens(each: DataFrame) -> DataFrame:
+    """Rows of (k, n, s, t, w): t are a set's s shingles that other sets have too, the rarest first; w is the length of its lists.
+
+    Sets without enough of them to link are left out.
+    """
+    flat = each.select("k", F.explode("tokens").alias("tok"))
+    counts = flat.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+    listed = flat.join(counts, "tok").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("ct"))
+    listed = listed.join(each.select("k", "n"), "k").where(F.size("ct") >= needed("n"))
+    first = F.slice("ct", 1, (F.size("ct") - needed("n") + 1).cast("int"))
+    return listed.select("k", "n", F.size("ct").alias("s"), F.transform("ct", lambda x: x.tok).alias("t"), F.aggregate(first, F.lit(0).cast("long"), lambda a, x: a + x.c).alias("w"))
+
+
+def boundary(shared: DataFrame) -> int:
+    """The size up to which enumerating all sets' subsets costs no more than scanning their lists."""
+    rows = shared.where(F.col("n") <= SMALL_MOST).groupBy("n").agg(F.count("*").alias("docs"), F.sum("w").alias("lists")).collect()
+    by, best, enumerated, scanned = {r.n: r for r in rows}, 0, 0, 0
+    for n in range(1, SMALL_MOST + 1):
+        if n in by:
+            enumerated += by[n].docs * sum(comb(n, c) for c in subset_sizes(n))
+            scanned += by[n].lists
+        if enumerated <= scanned:
+            best = n
+    return best
+
+
+def small_links(shared: DataFrame, most: int) -> DataFrame:
+    """Links by subsets among sets of `most` shingles or fewer.
+
+    Of the sets that share a subset of c, one links by it with another only if it does with the
+    smallest, as overlap() grows with both sizes: links with the smallest keep all components.
+    """
 
-def ordered(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The set's first shingles in the global order: those that aren't heavy first, then by hash."""
-    k = prefix(len(s))
-    if len(heavy):
-        late = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
-        if late.any():
-            s = np.concatenate([s[~late], s[late]])
-    return s[:k]
+    def run(keys, sizes, tokens):
+        out = [(k, n, c, x) for k, n, t in zip(keys, sizes, tokens, strict=True) for c in subset_sizes(n) if c <= len(t) for x in subsets(t, c)]
+        return [list(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
 
+    def signed(keys, sizes, tokens):
+        k, n, c, x = run(keys, sizes, tokens)
+        return [k, n, c, np.array(x, np.uint64).view(np.int64)]
 
-def entries(s: np.ndarray, heavy: np.ndarray) -> list[int]:
-    """The keys under which a set is filed: list keys, then subset keys."""
-    n = len(s)
-    out = ordered(s, heavy).tolist() if 5 * n >= 4 * (SMALL + 1) else []
-    if 0 < n <= SMALL:
-        out += [x for c in subset_sizes(n) for x in subsets(s, c)]
-    return out
+    filed = map_batches(shared.where(F.col("n") <= most).select("k", "n", "t"), "k long, n int, c int, x long", signed)
+    least = filed.groupBy("c", "x").agg(F.min(F.struct("n", "k")).alias("p"), F.count("*").alias("many")).where("many > 1").select("c", "x", "p")
+    return filed.join(least, ["c", "x"]).where("k <> p.k and 9 * c >= 4 * (n + p.n)").select(F.col("k").alias("a"), F.col("p.k").alias("b")).distinct()
 
 
-def _signed(values) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """Every set with the pivot of each of its min-hash groups, where the two can link."""
+    def least(i: int) -> Column:
+        return F.struct(F.lit(i).alias("i"), F.array_min(F.transform("t", lambda x: F.xxhash64(x, F.lit(i)))).alias("h"))
 
+    keyed = shared.select("k", "n", "s", F.explode(F.array(*map(least, range(STAR)))).alias("g")).select("k", "n", "s", "g.i", "g.h")
+    pivots = keyed.groupBy("i", "h").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("share"), "k", "n", "s")).alias("p"), F.count("*").alias("many")).where("many > 1").select("i", "h", "p")
+    near = keyed.join(pivots, ["i", "h"]).where("k <> p.k and 9 * least(s, p.s) >= 4 * (n + p.n)")
+    return near.select(F.col("k").alias("a"), F.col("p.k").alias("b")).distinct()
 
-def _sets(df: DataFrame) -> DataFrame:
-    def run(keys, texts):
-        n, k1, k2 = [], [], []
-        for x in texts:
-            s = shingles(x)
-            d = digest(s)
-            n.append(len(s))
-            k1.append(d[0])
-            k2.append(d[1])
-        return [keys, n, k1, k2]
 
-    return map_batches(df.select("doc_id", "text"), "doc_id long, n_shingles long, k1 long, k2 long", run)
+def linked(shared: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those that link: 100 * both >= 80 * (na + nb - both)."""
+    a = shared.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("t").alias("ta"))
+    b = shared.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("t").alias("tb"))
+    both = F.size(F.array_intersect("ta", "tb"))
+    return pairs.join(a, "a").join(b, "b").where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _filed(df: DataFrame, heavy: np.ndarray, before: np.ndarray | None = None) -> DataFrame:
-    """Rows of (doc_id, n, entries); with `before`, only list entries that this order adds to that one.
+def list_pairs(shared: DataFrame, comps: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) across components that may link by lists, and what to release after them.
 
-    A Python worker files equal sets it has just met once: their class links them anyway.
+    A set is filed under its first s - ceil(0.8 n) + 1 shingles. In a pair the smaller set asks, by
+    size bands; two sets can link by a shingle only where overlap() shingles are left on both sides.
+    """
+    named = shared.join(comps.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("comp", F.coalesce("component", "k"))
+    first = F.slice("t", 1, (F.col("s") - needed("n") + 1).cast("int"))
+    filed = named.where(5 * F.col("n") >= 4 * (most + 1)).select("k", "n", "s", "comp", F.posexplode(first).alias("pos", "tok")).select("k", "n", "comp", "tok", (F.col("s") - F.col("pos")).alias("rest"))
+    filed = materialize(filed, "filed")
+    mixed = filed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
+    filed_mixed = materialize(filed.join(mixed, "tok", "left_semi"), "mixed")
+    band = lambda n: F.floor(F.log(n) / BAND).cast("int")
+    held = filed_mixed.where(F.col("n") > most).withColumn("band", band(F.col("n")))
+    asked = filed_mixed.withColumn("band", F.explode(F.sequence(band(F.col("n")), band(F.floor(F.col("n") * 5 / 4)))))
+    least = F.greatest(F.col("n"), F.floor(F.exp(F.col("band") * BAND)) - 1)
+    asked = asked.where(9 * F.col("rest") >= 4 * (F.col("n") + least))
+    of = lambda df, at: df.groupBy("tok", "band", F.col("comp").alias(at)).agg(F.max("rest").alias(f"rest_{at}"), F.min("n").alias(f"n_{at}"), F.count("*").alias(f"many_{at}"))
+    meet = of(asked, "x").join(of(held, "y"), ["tok", "band"]).where("x <> y and 9 * least(rest_x, rest_y) >= 4 * (n_x + n_y)")
+    meet = materialize(meet, "meet")
+
+    def side(df: DataFrame, at: str, name: str) -> DataFrame:
+        return df.select("tok", "band", F.col("comp").alias(at), F.col("k").alias(name), F.col("n").alias(f"n{name}"), F.col("rest").alias(f"r{name}"))
+
+    a, b = side(asked, "x", "a"), side(held, "y", "b")
+    # the side with fewer documents is written out first
+    few_a = meet.where("many_x <= many_y").join(a, ["tok", "band", "x"]).where("9 * least(ra, rest_y) >= 4 * (na + n_y)").join(b, ["tok", "band", "y"])
+    few_b = meet.where("many_x > many_y").join(b, ["tok", "band", "y"]).where("9 * least(rb, rest_x) >= 4 * (nb + n_x)").join(a, ["tok", "band", "x"])
+    columns = ["a", "na", "ra", "b", "nb", "rb"]
+    pairs = few_a.select(columns).union(few_b.select(columns)).where("(na < nb or na = nb and a < b) and 9 * least(ra, rb) >= 4 * (na + nb)")
+    return pairs.select("a", "b").distinct(), [filed, filed_mixed, meet]
+
+
+def classes(df: DataFrame, small: int | None = None) -> DataFrame:
+    """Rows of (doc_id, n_shingles, class_id, component_id, k1, k2), one for each row of `df`.
+
+    k1 and k2 are the digest of a row's set; class_id is the least doc_id with that digest, and
+    component_id the least that is reachable by links. `small` fixes the boundary of small sets.
     """
-    shared = df.sparkSession.sparkContext.broadcast((heavy, before))
-
-    def run(keys, texts):
-        now, old = shared.value
-        ids, sizes, out, seen = [], [], [], set()
-        for key, x in zip(keys, texts, strict=True):
-            s = shingles(x)
-            d = digest(s)
-            if not len(s) or d in seen or key is None:
-                continue
-            seen.add(d)
-            if old is None:
-                e = entries(s, now)
-            else:
-                e = np.setdiff1d(ordered(s, now), ordered(s, old)).tolist() if 5 * len(s) >= 4 * (SMALL + 1) else []
-            if e:
-                ids.append(key)
-                sizes.append(len(s))
-                out.append(_signed(e))
-        return [ids, sizes, out]
-
-    return map_batches(df.select("doc_id", "text"), "doc_id long, n int, entries array<long>", run)
-
-
-def heavy_shingles(df: DataFrame) -> np.ndarray:
-    """The sorted heavy shingles, by rounds: putting some last brings others to the front."""
-    heavy, before = np.zeros(0, np.uint64), None
-    for _ in range(ROUNDS):
-        filed = _filed(df, heavy, before)
-        counts = materialize(filed.select(F.explode("entries").alias("tok")).groupBy("tok").count().where(F.col("count") > HEAVY), "heavy")
-        over = HEAVY
-        while counts.where(F.col("count") > over).count() + len(heavy) > HEAVY_MOST:
-            over *= 2
-        found = np.array([r.tok for r in counts.where(F.col("count") > over).select("tok").toLocalIterator()], np.int64).view(np.uint64)
-        merged = np.union1d(heavy, found)
-        if len(merged) <= 1.02 * len(heavy):
-            break
-        before, heavy = heavy, merged
-    return heavy
-
-
-def verified(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those that link, as rows of (a1, a2, b1, b2): the digests of both sets."""
-    pairs = materialize(pairs, "pairs")
-
-    def packed(keys, texts):
-        return [keys, [zlib.compress((x or "").encode(), 1) for x in texts]]
-
-    texts = map_batches(picked(df.select("doc_id", "text"), pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))), "doc_id long, z binary", packed)
-    left = texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
-
-    def run(za, zb):
-        out, known = ([], [], [], []), {}
-
-        def of(z):
-            if z not in known:
-                if len(known) > 200:
-                    known.clear()
-                s = shingles(zlib.decompress(z).decode())
-                known[z] = s, digest(s)
-            return known[z]
-
-        for x, y in zip(za, zb, strict=True):
-            (s, d), (t, e) = of(x), of(y)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * both >= 80 * (len(s) + len(t) - both):
-                for column, v in zip(out, (*d, *e), strict=True):
-                    column.append(v)
-        return list(out)
-
-    joined = pairs.join(right, "b").join(left, "a").select("za", "zb")
-    return map_batches(joined, "a1 long, a2 long, b1 long, b2 long", run)
-
-
-def _alike(a: str, b: str) -> F.Column:
-    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
-
-
-def star_pairs(filed: DataFrame) -> DataFrame:
-    """Every document with the pivot, the least id, of each of its first entries."""
-    first = filed.select("doc_id", "n", F.explode(F.slice("entries", 1, STAR)).alias("tok"))
-    pivots = first.groupBy("tok").agg(F.min(F.struct("doc_id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    near = first.join(pivots.select("tok", "p.doc_id", F.col("p.n").alias("m")).withColumnRenamed("doc_id", "b"), "tok").where(_alike("n", "m") & (F.col("doc_id") != F.col("b")))
-    return near.select(F.col("doc_id").alias("a"), "b").distinct()
-
-
-def list_pairs(filed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs across components that share enough entries to link. `nodes`: doc_id, comp."""
-    nodes = materialize(nodes.where("comp <> doc_id"), "nodes")
-    nodes = F.broadcast(nodes) if nodes.count() <= IDS_MOST else nodes
-    known = filed.join(nodes, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    flat = known.select("doc_id", "n", "comp", F.explode("entries").alias("tok"))
-    mixed = flat.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-    flat = materialize(flat.join(mixed, "tok", "left_semi"), "mixed")
-    # lists meet by component first: a component is one row of a list, however many documents it has there
-    groups = flat.groupBy("tok", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = groups.alias("x"), groups.alias("y")
-    meet = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") < F.col("y.comp")) & (5 * F.col("x.hi") >= 4 * F.col("y.lo")) & (5 * F.col("y.hi") >= 4 * F.col("x.lo")))
-    meet = meet.select(F.col("x.tok").alias("tok"), F.col("x.comp").alias("comp"), F.col("y.comp").alias("other"))
-    left = meet.join(flat, ["tok", "comp"]).select("tok", "other", F.col("doc_id").alias("a"), F.col("n").alias("na"))
-    right = flat.select("tok", F.col("comp").alias("other"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, ["tok", "other"]).where(_alike("na", "nb"))
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.first(F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb"))).alias("na"), F.first(F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))).alias("nb"))
-    # what is common lies in the shared entries or beyond the end of the entries that end first
-    beyond = F.greatest(F.ceil(F.col("na") * 4 / 5), F.ceil(F.col("nb") * 4 / 5)) - 1
-    enough = F.col("c") + beyond >= F.ceil((F.col("na") + F.col("nb")) * 4 / 9)
-    small = (F.col("na") <= 2 * SMALL) | (F.col("nb") <= 2 * SMALL)  # subset keys are no shingles
-    return pairs.where(enough | small).select("a", "b")
-
-
-def classes(df: DataFrame) -> DataFrame:
-    """Rows of (doc_id, n_shingles, class_id, component_id), one for each row of `df`."""
     df = df.select("doc_id", "text")
-    sets = materialize(_sets(df), "sets")
-    heavy = heavy_shingles(df)
-    filed = materialize(_filed(df, heavy), "filed")
-    full = sets.where("n_shingles > 0 and doc_id is not null")
-    reps = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id")), "classes")
-
-    def of_classes(found: DataFrame) -> DataFrame:
-        a = found.distinct().join(reps.selectExpr("k1 a1", "k2 a2", "class_id a"), ["a1", "a2"])
-        return a.join(reps.selectExpr("k1 b1", "k2 b2", "class_id b"), ["b1", "b2"]).select("a", "b")
-
-    links = materialize(of_classes(verified(df, star_pairs(filed))), "star")
+    rows = materialize(sets_met(df), "sets")
+    full = rows.where("n > 0 and doc_id is not null")
+    reps = materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.max("met").alias("met"), F.max("n").alias("n")), "classes")
+    left = reps.where(F.col("met") >= F.ceil(F.col("n") / 10)).select(F.col("class_id").alias("doc_id"))
+    each = materialize(_tokens(picked(df, left)), "tokens")
+    kept = [each]
+    if each.count() > left.count():  # repeated ids
+        each = materialize(each.dropDuplicates(["k"]), "tokens")
+        kept.append(each)
+    shared = materialize(shared_tokens(each), "shared")
+    most = boundary(shared) if small is None else small
+    near = materialize(star_pairs(shared), "pairs")
+    links = linked(shared, near)
+    if most:
+        links = links.union(small_links(shared, most))
+    links = materialize(links, "links")
     comps = components(links)
-    named = full.join(reps, ["k1", "k2"]).select("doc_id", "class_id")
-    nodes = named.join(comps, named.class_id == comps.node, "left").select("doc_id", F.coalesce("component", "class_id").alias("comp"))
-    # many rows of one doc_id would multiply the lists
-    more = of_classes(verified(df, list_pairs(filed, nodes.groupBy("doc_id").agg(F.min("comp").alias("comp")))))
-    comps = components(links.union(more))
-    rows = sets.join(reps, ["k1", "k2"], "left").withColumn("class_id", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")))
-    rows = rows.join(comps, rows.class_id == comps.node, "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id")).alias("component_id"))
+    pairs, more = list_pairs(shared, comps, most)
+    pairs = materialize(pairs, "pairs")
+    further = materialize(linked(shared, pairs), "links")
+    kept += [near, links, comps, pairs, further, shared, *more]
+    if not further.isEmpty():
+        comps = components(links.union(further))
+        kept.append(comps)
+    found = reps.join(comps, reps.k1 == comps.node, "left")
+    least = found.where("component is not null").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = materialize(found.join(least, "component", "left").select("k1", "k2", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "named")
+    release(reps, *kept)
+    return _labelled(rows, named)
+
+
+def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    id_only = rows.where(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), "k1", "k2")
+    full = rows.where(~alone).join(named, ["k1", "k2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id", "k1", "k2")
+    return full.union(id_only)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
