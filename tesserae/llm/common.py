@@ -90,6 +90,20 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[..., list], *args) -> D
     return df.mapInArrow(run, schema)
 
 
+def map_whole(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """Apply `fn` to Arrow batches of whole rows that it returns with the same columns, changed or fewer.
+
+    Columns that `fn` doesn't touch stay Arrow data, whatever their names and types.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                yield fn(part)
+
+    return df.mapInArrow(run, df.schema)
+
+
 #: Ids that are broadcast at most (8 bytes each) to pick or drop rows; beyond, a bitmap of at most
 #: BITMAP words (16 bytes each) sorts out most rows before the rest are joined by shuffle.
 IDS_MOST, BITMAP = 500_000, 1 << 20

@@ -40,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, map_batches, materialize, picked, release
+from .common import documents, map_batches, materialize, picked, release, without
 from .components import components
 from .shingles import digest, mix, sets, subsets
 
@@ -318,10 +319,11 @@ def list_pairs(shared: DataFrame, comps: DataFrame, most: int) -> tuple[DataFram
 
 
 def classes(df: DataFrame, small: int | None = None) -> DataFrame:
-    """Rows of (doc_id, n_shingles, class_id, component_id, k1, k2), one for each row of `df`.
+    """Rows of (doc_id, n_shingles, class_id, component_id, k1, k2, component_key), one for each row of `df`.
 
     k1 and k2 are the digest of a row's set; class_id is the least doc_id with that digest, and
-    component_id the least that is reachable by links. `small` fixes the boundary of small sets.
+    component_id the least that is reachable by links. component_key tells components apart even
+    where one doc_id has texts in several. `small` fixes the boundary of small sets.
     """
     df = df.select("doc_id", "text")
     rows = materialize(sets_met(df), "sets")
@@ -350,16 +352,49 @@ def classes(df: DataFrame, small: int | None = None) -> DataFrame:
         kept.append(comps)
     found = reps.join(comps, reps.k1 == comps.node, "left")
     least = found.where("component is not null").groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = materialize(found.join(least, "component", "left").select("k1", "k2", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "named")
+    grouped = found.join(least, "component").select("k1", "k2", "class_id", "component_id", F.col("component").alias("component_key"))
+    alone = found.where("component is null").select("k1", "k2", "class_id", F.col("class_id").alias("component_id"), F.col("k1").alias("component_key"))
+    named = grouped.union(alone)
+    named = materialize(named, "named")
     release(reps, *kept)
     return _labelled(rows, named)
 
 
 def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    id_only = rows.where(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), "k1", "k2")
-    full = rows.where(~alone).join(named, ["k1", "k2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id", "k1", "k2")
-    return full.union(id_only)
+    columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id", "k1", "k2", "component_key"]
+    single = rows.where(alone).withColumns({"class_id": F.col("doc_id"), "component_id": F.col("doc_id"), "component_key": F.lit(None).cast("long")})
+    return rows.where(~alone).join(named, ["k1", "k2"]).select(columns).union(single.select(columns))
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """Whole rows of `docs`: of each group of linked texts the one with the least doc_id.
+
+    Rows are told apart by doc_id and text, so a text of a repeated doc_id stays if its own group
+    chose it; of rows with one doc_id and equal sets one stays, the first by its columns as JSON.
+    Rows without words or without a doc_id link with nothing and stay.
+    """
+    found = materialize(classes(docs).select("doc_id", "n_shingles", "k1", "k2", "component_key"), "groups")
+    texts = found.where("component_key is not null")
+    first = materialize(texts.groupBy("component_key").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("f")).select("f.*"), "first")
+    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    gone = texts.join(first, ["doc_id", "k1", "k2"], "left_anti").select("doc_id")
+    if again.isEmpty():
+        return without(docs, gone)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [(*digest(s), len(s)) for s in sets(batch.column("text"))]
+            k1, k2, n = ([k[i] for k in keys] for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), batch.column("row")], names=["doc_id", "k1", "k2", "n", "row"])
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = picked(docs, again).select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
+    kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("row", packed.schema["row"].dataType)])
+    repeated = materialize(packed.mapInArrow(keyed, kind), "repeated")
+    one = repeated.where("n > 0").join(first, ["doc_id", "k1", "k2"], "left_semi").groupBy("doc_id", "k1", "k2").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    kept = repeated.where("n = 0").select("row").union(one.select("row")).select("row.*")
+    return without(docs, gone.union(again)).unionByName(kept)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

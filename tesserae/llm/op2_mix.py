@@ -5,35 +5,37 @@ is above goes to the other sources by weight until no target is above. A source
 t and the size s is taken t / s times: every document floor(t / s) times with certainty, and a
 fixed-size sample for the rest. The sample is in Pareto order: a document draws u from a keyed
 hash and is ranked by u / (1 - u) divided by p / (1 - p), p being its inclusion probability; the
-documents of least rank are taken up to the source's remaining words. Where `weight` names a
-column, p is proportional to it within a source, and so documents differ in p; those that reach
-p = 1 are certain.
+documents of least rank are taken up to the source's remaining words. Within a source p is
+proportional to the document's weight, by default log2(2 + words), so that longer documents are
+likelier; those that would reach p = 1 are certain, and their excess goes to the others.
 
 The size is held in words, so taken words differ from the target by less than the document on the
-boundary. The boundary is found without gathering a source: ranks are cut into `CELLS` cells for
-each source, words are summed for each cell (combined before the shuffle), and only the cell that
-holds the boundary is ordered row by row. A hot source makes its cells fuller, not a task.
-
-A null or empty text has size 0 and takes 0 words. Null sources are one source, listed last.
-Documents that tie in rank are ordered by id and text hash; repeated rows have equal ranks and
-are taken or left in no particular order, which gives the same rows. Reruns agree. An empty table
-gives an empty result. A source whose size is 0 has the target 0.
+boundary. Nothing about sources or documents comes to the driver but a few sums: shares, targets
+and probabilities are settled by rounds over tables. The boundary is found without gathering a
+source: ranks are cut into cells for each source, about ROWS documents in each, words are summed
+for each cell (combined before the shuffle), and only the cell that holds the boundary is ordered
+row by row. A hot source makes more cells, not a fuller task.
+
+A null or empty text has size 0 and takes 0 words; texts of any length are counted whole. Null
+sources are one source, listed last. Rows without a doc_id draw by their text. Documents that tie
+in rank are ordered by id, text hash and size, so only rows equal in all of these are taken or
+left in no particular order. Reruns agree. An empty table gives an empty result. A source whose
+size is 0 has the target 0. Other columns don't matter; `keep` carries them in a struct.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import GAP, documents, materialize
+from .common import GAP, IDS_MOST, documents, materialize, release
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 SEED = "mix-1"
-#: Cells of the rank for each source: a few thousandths of a source are ordered row by row.
-CELLS = 512
+#: Documents in a cell of the rank, about, and the cells of a source at least.
+ROWS, CELLS = 2000, 512
 
 
 def words(text: Column) -> Column:
@@ -45,38 +47,55 @@ def words(text: Column) -> Column:
     return F.when(bare, 0).otherwise(n - edges).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], budget: float, most: float = MOST) -> list[float]:
-    """Shares of the budget by weight, none above `most` times its size; the excess is reshared."""
-    out, free = [0.0] * len(sizes), {i for i, s in enumerate(sizes) if s > 0}
-    left = float(budget)
-    while free:
-        total = sum(weights[i] for i in free)
-        over = {i for i in free if left * weights[i] / total > most * sizes[i]}
-        for i in over or free:
-            out[i] = most * sizes[i] if over else left * weights[i] / total
-        if not over:
+def ranked(sources: DataFrame) -> DataFrame:
+    """The rows of (source, n) with `place`, their rank from 0 by code point, null last; only counts of ranges meet in a task."""
+    parts = materialize(sources.withColumn("none", F.col("source").isNull()).repartitionByRange("none", "source").withColumn("part", F.spark_partition_id()), "sources")
+    before = parts.groupBy("part").count().select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy("none", "source")) + F.col("before") - 1
+    return parts.join(F.broadcast(before), "part").select("source", "n", place.alias("place"))  # a row for each partition
+
+
+def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.0, most: float = MOST) -> DataFrame:
+    """`sources` (source, n, place) with `target`: shares of the budget by weight, none above `most` * n; the excess is reshared."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = materialize(sources.withColumn("weight", weight), "weighted")
+    budget = share * (rows.agg(F.sum("n")).first()[0] or 0)
+    level, bound = None, F.lit(most) * F.col("n") / F.col("weight")
+    while True:  # those whose bound is under the level are full; the others share what is left
+        full = F.lit(False) if level is None else bound < level
+        got = rows.where("n > 0").agg(F.sum(F.when(full, most * F.col("n"))).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        following = (budget - (got.taken or 0.0)) / got.open if got.open else float("inf")
+        if level is not None and following <= level:
             break
-        left -= sum(out[i] for i in over)
-        free -= over
-    return out
-
-
-def plan(spark: SparkSession, sized: DataFrame, weights=WEIGHTS, share: float = 1.0) -> DataFrame:
-    """Rows of (source, source_size, target, whole, part); one row for each source.
-
-    The number of sources is that of a catalogue, not of documents; their sums come to the driver.
-    """
-    got = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    got.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be", "surrogatepass")))
-    sizes = [r.n or 0 for r in got]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(got))], share * sum(sizes))
-    rows = []
-    for r, n, t in zip(got, sizes, goal, strict=True):
-        times = t / n if n else 0.0
-        whole = int(times + 1e-9)
-        rows.append((r.source, n, t, whole, max(0.0, times - whole)))
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("whole", T.LongType()), T.StructField("part", T.DoubleType())])
-    return spark.createDataFrame(rows, schema)
+        level = following
+    return rows.withColumn("target", F.when(F.col("n") > 0, F.least(F.lit(most) * F.col("n"), F.col("weight") * F.lit(level))).otherwise(0.0)).drop("weight", "place")
+
+
+def _by_source(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Join a row for each source to rows; it is broadcast only if the sources are counted to be few."""
+    few = few.withColumnRenamed("source", "_source")
+    few = F.broadcast(few) if few.count() <= IDS_MOST else few
+    return rows.join(few, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def scales(sized: DataFrame, goal: DataFrame) -> DataFrame:
+    """`goal` (source, n, target) with whole copies, the words that the sample takes, and the factor from weights to probabilities."""
+    times = F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0)
+    goal = goal.withColumn("whole", F.floor(times + 1e-9).cast("long")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("n")))
+    goal, factor = materialize(goal.withColumn("factor", F.lit(0.0)), "goal"), F.col("factor")
+    while True:
+        sure = F.col("_w") * factor >= 1
+        rows = _by_source(sized, goal).groupBy("source").agg(F.sum(F.when(sure, F.col("size")).otherwise(0)).alias("certain"), F.sum(F.when(~sure, F.col("_w") * F.col("size")).otherwise(0.0)).alias("open"))
+        rows = rows.withColumnRenamed("source", "_source")
+        step = goal.join(rows, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+        new = F.when((F.col("open") > 0) & (F.col("rest") > 0), F.greatest(factor, (F.col("rest") - F.col("certain")) / F.col("open"))).otherwise(factor)
+        step = materialize(step.withColumn("to", F.coalesce(new, factor)).withColumn("moved", F.col("to") > factor * (1 + 1e-9)), "goal")
+        settled = step.where("moved").isEmpty()
+        release(goal)
+        goal = step.select("source", "n", "target", "whole", "rest", F.col("to").alias("factor"))
+        goal.written_to = step.written_to
+        if settled:
+            return goal
 
 
 def uniform(*by: Column) -> Column:
@@ -84,41 +103,40 @@ def uniform(*by: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(SEED), *by)), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(df: DataFrame, weights=WEIGHTS, share: float = 1.0, weight: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each row with size, source_size, target, copies; `keep` names columns that stay, in the struct `kept`."""
-    spark = df.sparkSession
-    kept = F.struct(*keep) if keep else F.lit(None).cast("string")
-    sized = df.select("doc_id", "source", kept.alias("kept"), words(F.col("text")).alias("size"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
-    sized = sized.withColumn("_w", F.greatest(F.coalesce("_w", F.lit(1.0)), F.lit(1e-6)))
-    if not keep:  # words are counted once, and what follows reads a few numbers a document
-        sized = materialize(sized, "sized")
-    goal = plan(spark, sized, weights, share)
-    if weight:  # p = part * w / (the source's mean weight by words), so that expected words stay part * size
-        means = sized.groupBy("source").agg((F.sum(F.col("_w") * F.col("size")) / F.greatest(F.sum("size"), F.lit(1))).alias("_mean"))
-        goal = goal.join(means, goal.source.eqNullSafe(means.source)).drop(means.source)
-    goal = F.broadcast(goal)  # one row for each source
-    p = F.least(F.col("part") * F.col("_w") / F.col("_mean"), F.lit(1.0)) if weight else F.col("part")
-    u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    rows = sized.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_p", p).withColumn("_u", u)
+def mix(df: DataFrame, weights=WEIGHTS, share: float = 1.0, weight: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each row with size, source_size, target, copies; `keep` names columns that stay, in the struct `kept`.
+
+    `weight` is a positive Column over `size` and the columns of `df` (null counts as 1).
+    """
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
+    drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.xxhash64("text").cast("string")))
+    size = words(F.col("text"))
+    given = F.log2(F.lit(2) + size) if weight is None else weight
+    sized = df.select("doc_id", "source", kept.alias("kept"), size.alias("size"), F.greatest(F.coalesce(given.cast("double"), F.lit(1.0)), F.lit(1e-6)).alias("_w"), uniform(drawn).alias("_u"), F.xxhash64("text").alias("_h"))
+    sized = materialize(sized, "sized")  # words are counted once, and what follows reads a few numbers a document
+    numbers = sized.drop("kept", "doc_id", "_u", "_h")
+    sources = numbers.groupBy("source").agg(F.sum("size").alias("n"))
+    goal = scales(numbers, targets(ranked(sources), weights, share))
+    p = F.when(F.col("rest") > 0, F.least(F.col("_w") * F.col("factor"), F.lit(1.0))).otherwise(0.0)
+    rows = _by_source(sized, goal).withColumn("_p", p)
     odds = F.when(F.col("_p") >= 1, 0.0).when(F.col("_p") <= 0, F.lit(float("inf"))).otherwise(F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p"))))
+    cells = max(CELLS, sized.count() // ROWS)
     # odds / (1 + odds) lies in [0, 1] and keeps the order; its cells are even enough for any p
-    rows = rows.withColumn("_rank", odds).withColumn("_cell", F.least(F.floor(F.when(F.col("_rank") == float("inf"), 1.0).otherwise(F.col("_rank") / (1 + F.col("_rank"))) * CELLS), F.lit(CELLS - 1)).cast("int"))
-    cells = rows.groupBy("source", "_cell").agg(F.sum("size").alias("_n"), F.first("target").alias("_t"), F.first("whole").alias("_whole"), F.first("source_size").alias("_size"))
+    rows = rows.withColumn("_rank", odds).withColumn("_cell", F.least(F.floor(F.when(F.col("_rank") == float("inf"), 1.0).otherwise(F.col("_rank") / (1 + F.col("_rank"))) * cells), F.lit(cells - 1)).cast("long"))
+    sums = rows.where("rest > 0.5").groupBy("source", "_cell").agg(F.sum("size").alias("_n"), F.first("rest").alias("_rest"))
     by = W.partitionBy("source").orderBy("_cell")
-    cells = cells.withColumn("_before", F.sum("_n").over(by) - F.col("_n")).withColumn("_rest", F.col("_t") - F.col("_whole") * F.col("_size"))
-    edge = cells.where("_rest > 0.5 and _before < _rest and _before + _n >= _rest").select(F.col("source").alias("_source"), F.col("_cell").alias("_edge"), "_before", "_rest")
-    edge = F.broadcast(edge)  # at most one row for each source
+    edge = sums.withColumn("_before", F.sum("_n").over(by) - F.col("_n")).where("_before < _rest and _before + _n >= _rest")
+    edge = materialize(edge.select(F.col("source").alias("_source"), F.col("_cell").alias("_edge"), "_before"), "edge")
+    edge = F.broadcast(edge) if edge.count() <= IDS_MOST else edge  # at most one row for each source
     rows = rows.join(edge, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    inside = F.col("_cell") == F.col("_edge")
-    order = W.partitionBy("source", "_salt").orderBy("_rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    # rows off the boundary need no order: they are spread by a salt so that no source meets in a task
-    rows = rows.withColumn("_salt", F.when(inside, -1).otherwise(F.floor(F.col("_u") * 1e6).cast("int")))
+    inside = F.coalesce(F.col("_cell") == F.col("_edge"), F.lit(False))
+    order = W.partitionBy("source").orderBy("_rank", "doc_id", "_h", "size").rowsBetween(W.unboundedPreceding, 0)
     edges = rows.where(inside).withColumn("_upto", F.sum("size").over(order))
     # the document on the boundary is taken if that brings the sum nearer
-    edges = edges.withColumn("_take", F.col("_before") + F.col("_upto") - F.col("size") / 2 <= F.col("_rest"))
-    others = rows.where(~F.coalesce(inside, F.lit(False))).withColumn("_upto", F.lit(0).cast("long")).withColumn("_take", F.coalesce(F.col("_cell") < F.col("_edge"), F.lit(False)))
+    edges = edges.withColumn("_take", F.col("_before") + F.col("_upto") - F.col("size") / 2 <= F.col("rest"))
+    others = rows.where(~inside).withColumn("_upto", F.lit(0).cast("long")).withColumn("_take", F.coalesce(F.col("_cell") < F.col("_edge"), F.lit(False)))
     out = others.unionByName(edges)
-    return out.select("doc_id", "source", "kept", "size", "source_size", "target", (F.col("whole") + F.col("_take").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "kept", "size", F.col("n").alias("source_size"), "target", (F.col("whole") + F.col("_take").cast("long")).alias("copies"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,10 @@ import re
 from dataclasses import dataclass
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, map_batches
+from .common import documents, map_batches, map_whole
 from .trigrams import Block, compiled, grams, query
 
 
@@ -110,12 +111,12 @@ def redacted(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     """The same rows and columns with secrets replaced in `text`; every row stays."""
     at = df.columns.index(text)
 
-    def run(*columns):
-        out = list(columns)
-        out[at] = [redact(x, s) for x, s in zip(columns[at], find(columns[at], rules), strict=True)]
-        return out
+    def run(batch):
+        texts = batch.column(at).to_pylist()
+        new = [redact(x, s) for x, s in zip(texts, find(texts, rules), strict=True)]
+        return batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return map_batches(df, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), run)
+    return map_whole(df, run)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

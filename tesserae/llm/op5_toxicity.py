@@ -19,10 +19,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches
+from .common import documents, map_batches, map_whole
 
 BITS = 18
 SAMPLE = 8000
@@ -129,15 +130,15 @@ def score(docs: DataFrame, weights: np.ndarray | None, key: str = "doc_id") -> D
     return map_batches(docs.select(key, "text"), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double", run)
 
 
-def scored(docs: DataFrame, weights: np.ndarray | None, name: str = "score") -> DataFrame:
-    """The same rows and columns and the score."""
+def accepted(docs: DataFrame, weights: np.ndarray | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     at = docs.columns.index("text")
 
-    def run(*columns):
-        return [*columns, [probability(x, shared.value) for x in columns[at]]]
+    def run(batch):
+        return batch.filter(pa.array([probability(x, shared.value) < threshold for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    return map_batches(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double", run)
+    return map_whole(docs, run)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
