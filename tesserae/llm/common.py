@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,6 +42,37 @@ def shared_dir(spark: SparkSession) -> str:
     return top
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
+    """While it lasts, Arrow batches of a few MB: a batch is held on both sides of a Python worker's pipe."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def trim() -> None:
+    """Give freed memory back: workers live on after a task, and the next stages need what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for mapInArrow that trims the worker when its task ends."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return whole
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet to the shared folder and read it back.
 
@@ -47,7 +80,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -87,7 +121,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[..., list], *args) -> D
                 out = fn(*[c.to_pylist() for c in part.columns], *args)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def map_whole(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
@@ -101,7 +135,7 @@ def map_whole(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) ->
             for part in _parts(batch):
                 yield fn(part)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 #: Ids that are broadcast at most (8 bytes each) to pick or drop rows; beyond, a bitmap of at most

@@ -42,12 +42,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, map_batches, materialize, picked, release, without
+from .common import documents, map_batches, materialize, picked, release, trimmed, without
 from .components import components
 from .shingles import digest, mix, sets, subsets
 
 #: Shingles and documents of a block; bytes of a bucket and of a task's buckets, about.
-BLOCK, BLOCK_DOCS, BUCKET, TASK = 1 << 20, (1 << 16) - 1, 1 << 25, 1 << 26
+BLOCK, BLOCK_DOCS, BUCKET, TASK = 1 << 19, (1 << 16) - 1, 1 << 25, 1 << 26
 #: Bytes sent for a byte of text, about.
 SENT = 0.4
 STAR = 4
@@ -187,8 +187,8 @@ def sets_met(df: DataFrame) -> DataFrame:
     size = SENT * (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     bits = max(8, int(np.ceil(np.log2(1 + size / BUCKET))))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / TASK))
-    pieces = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sender(bits), "bucket int, block long, marks binary, refs binary, docs binary")
-    rows = pieces.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _MET_DDL)
+    pieces = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(_sender(bits)), "bucket int, block long, marks binary, refs binary, docs binary")
+    rows = pieces.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(_meet), _MET_DDL)
     return rows.groupBy("ref").agg(*[F.max(c).alias(c) for c in ("doc_id", "n", "k1", "k2")], F.sum("met").alias("met")).drop("ref")
 
 
@@ -212,7 +212,7 @@ def _tokens(df: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return df.select("text").mapInArrow(run, "k long, n int, tokens array<long>")
+    return df.select("text").mapInArrow(trimmed(run), "k long, n int, tokens array<long>")
 
 
 def needed(n: str | Column) -> Column:
@@ -391,7 +391,7 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     packed = picked(docs, again).select(F.col("doc_id").cast("long").alias("doc_id"), "text", row)
     kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("row", packed.schema["row"].dataType)])
-    repeated = materialize(packed.mapInArrow(keyed, kind), "repeated")
+    repeated = materialize(packed.mapInArrow(trimmed(keyed), kind), "repeated")
     one = repeated.where("n > 0").join(first, ["doc_id", "k1", "k2"], "left_semi").groupBy("doc_id", "k1", "k2").agg(F.min_by("row", F.to_json("row")).alias("row"))
     kept = repeated.where("n = 0").select("row").union(one.select("row")).select("row.*")
     return without(docs, gone.union(again)).unionByName(kept)

@@ -38,7 +38,7 @@ _WORD = re.compile(r"\w+")
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = zlib.crc32(word.encode())
         return value
