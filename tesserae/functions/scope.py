@@ -36,6 +36,15 @@ def interaction_owner(user_id: int, owner: bool) -> Column:
     return (F.col("user_id") == user_id) | (F.lit(owner) & F.col("user_id").isNull())
 
 
+def asked(**values: object) -> Column:
+    """Filters that were asked for; a value of None asks for nothing."""
+    out = F.lit(True)
+    for column, value in values.items():
+        if value is not None:
+            out = out & (F.col(column) == F.lit(value))
+    return out
+
+
 def contains_text(column: str, needle: str) -> Column:
     return F.lower(F.col(column)).contains(needle.lower())
 

@@ -27,7 +27,15 @@ SECRETS = (
     r"(?<![A-Za-z0-9])thm_[A-Za-z0-9_\-.]{1,200}_[A-Za-z0-9_-]{43}(?![A-Za-z0-9_-])",
     r"(?<![A-Za-z0-9])thm_[A-Za-z0-9_-]{44,}",
 )
-#: Negations, opposites and stop words.
+_BOUNDARY = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with word boundaries that hold for ASCII words only, whatever the Java version."""
+    return pattern.replace(r"\b", _BOUNDARY)
+
+
+#: Negations (a list joined for one search), opposites and stop words.
 NEGATION = r"(?i)\bnot\b|\bnever\b|\bno longer\b|\bstop\b|\bavoid\b|\bdon'?t\b|\binstead\b|\bbut\b|\bhowever\b|ไม่|ห้าม|เลิก|อย่า"
 ANTONYMS = "tabs spaces vim emacs light dark mysql postgres windows mac linux react vue ios android ชา กาแฟ แมว สุนัข กลางคืน กลางวัน ร้อน เย็น หวาน เค็ม เปิด ปิด ซ้าย ขวา บน ล่าง ก่อน หลัง ไทย อังกฤษ".split()
 STOPWORDS = (
@@ -118,10 +126,10 @@ def nfkc(values):
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def normalize(text: Column, compatibility: bool = False) -> Column:
-    """Lower case, one space for white space, letters, digits and spaces only; NFKC where asked for."""
+def normalize(text: Column, compatibility: bool = True) -> Column:
+    """Lower case, NFKC, one space for white space, letters, digits and spaces only. Only texts beyond ASCII go to Python."""
     text = F.lower(text)
-    text = nfkc(text) if compatibility else text
+    text = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text) if compatibility else text
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"[^\p{L}\p{N}\s]", ""))
 
 
@@ -154,19 +162,28 @@ def keywords(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.rlike(r"^\d+$") & ~F.array_contains(stop, w))
 
 
+#: What names an entity, in order: quotations, joined capitalised words, names, compounds, files, links, words.
+ENTITIES = (
+    "\"[^\"]{2,60}\"|'[^']{2,60}'",
+    r"[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+",
+    r"\b[A-Z][a-z]{2,}\b",
+    r"\b[a-z]+(?:-[a-z]+){1,}\b",
+    r"(?i)\b[\w./-]+\.(?:ts|js|mjs|py|json|md|yaml|yml)\b",
+    r"(?i)\bhttps?://\S+",
+    r"\b[A-Za-z][A-Za-z0-9_-]*\b",
+)
+
+
 def entities(text: Column, most: int = 12) -> Column:
     """Quoted strings, identifiers, names, compounds, files, links and longer words; the first distinct ones."""
     stop = F.split(F.lit(" ".join(STOPWORDS)), " ")
 
     def every(pattern: str, group: int = 0) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-    quoted = F.transform(every("\"[^\"]{2,60}\"|'[^']{2,60}'"), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
-    words = F.filter(every(r"\b[A-Za-z][A-Za-z0-9_-]*\b"), lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, F.lower(w)))
-    found = F.concat(
-        quoted, every(r"[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+"), every(r"\b[A-Z][a-z]{2,}\b"), every(r"\b[a-z]+(?:-[a-z]+){1,}\b"),
-        every(r"(?i)\b[\w./-]+\.(?:ts|js|mjs|py|json|md|yaml|yml)\b"), every(r"(?i)\bhttps?://\S+"), words,
-    )
+        return F.regexp_extract_all(text, F.lit(ascii_edges(pattern)), F.lit(group))
+
+    quoted = F.transform(every(ENTITIES[0]), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
+    words = F.filter(every(ENTITIES[-1]), lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, F.lower(w)))
+    found = F.concat(quoted, *[every(p) for p in ENTITIES[1:-1]], words)
     found = F.transform(found, lambda x: F.trim(x))
     return F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) >= 2)), 1, most)
 
@@ -181,8 +198,17 @@ def intent(text: Column) -> tuple[Column, Column]:
     return kind, what
 
 
+def first_intent(text: Column) -> tuple[Column, Column]:
+    """(type, what) by the first pattern that matches, however short what it takes is."""
+    kind, what = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for pattern, name in reversed(INTENTS):
+        hit = text.rlike(pattern)
+        kind, what = F.when(hit, name).otherwise(kind), F.when(hit, F.trim(F.regexp_extract(text, pattern, 1))).otherwise(what)
+    return kind, what
+
+
 def negated(text: Column) -> Column:
-    return text.rlike(NEGATION)
+    return text.rlike(ascii_edges(NEGATION))
 
 
 def antonyms(text: Column) -> Column:
@@ -218,3 +244,41 @@ def grams(text: Column) -> Column:
     three = F.when(n == 0, F.array().cast("array<string>")).when(n < 3, F.array(F.concat(F.lit("g:"), bare))).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.concat(F.lit("g:"), F.substring(bare, i, F.lit(3)))))
     return F.concat(ascii_words(text), three)
+
+
+def hash_prefix(token: Column) -> Column:
+    return F.substring(F.sha2(token, 256), 1, 8)
+
+
+def verify_token(token: Column, stored: Column) -> Column:
+    return F.coalesce(F.sha2(token, 256) == stored, F.lit(False))
+
+
+#: What the command-line hook takes for a secret, in order.
+HOOK_SECRETS = (
+    r"(?i)(api[_-]?key|secret|token|password|auth|bearer|credential|private[_-]?key|access[_-]?key|database[_-]?url|connection[_-]?string)\s*[=:]\s*\S+",
+    r"(?i)(sk-[a-zA-Z0-9]{20,})",
+    r"(?i)(ghp_[a-zA-Z0-9]{36})",
+    r"(?i)(glpat-[a-zA-Z0-9\-]{20,})",
+    r"(?i)(Bearer\s+[a-zA-Z0-9\-_]+)",
+    r"(?i)(-----BEGIN (RSA |EC |OPENSSH )?PRIVATE KEY-----)",
+)
+
+
+def hook_redact(text: Column) -> Column:
+    """In each line the first match of the first pattern that matches."""
+
+    def line(x: Column) -> Column:
+        out = x
+        for pattern in reversed(HOOK_SECRETS):
+            once = F.regexp_replace(x, f"(?s)^(.*?){pattern}", f"$1{REDACTED.replace('[', chr(92) + '[')}")
+            out = F.when(x.rlike(pattern), once).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+
+
+def error_status(response: Column) -> Column:
+    """error where a tool's answer says so: is_error is true, or "error" within its first 200 characters."""
+    hit = response.rlike(r'(?i)"is_error"\s*:\s*true') | F.lower(F.substring(response, 1, 200)).contains("error")
+    return F.when(F.coalesce(hit, F.lit(False)), "error").otherwise("success")

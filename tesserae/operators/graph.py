@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tesserae.sources.shared import durable
+from tesserae.sources.shared import durable, written
 
 
-def traverse(links: DataFrame, starts: DataFrame, depth: int = 2, relations: list[str] | None = None) -> DataFrame:
-    """Rows of (id, depth) of the nodes first met at 1..depth along outgoing links; at most five steps."""
+def traverse(links: DataFrame, starts: DataFrame, depth: int = 2, relations: list[str] | None = None, first_relation: bool = False) -> DataFrame:
+    """Rows of (id, depth) of the nodes first met at 1..depth along outgoing links; at most five steps.
+
+    With `first_relation` also the least relation by which a node was met first. Fronts are written out, so no step is walked twice.
+    """
     if relations:
         links = links.where(F.col("relation").isin(relations))
-    edges = links.select(F.col("source_memory_id").alias("id"), F.col("target_memory_id").alias("to"))
-    seen = starts.select("id", F.lit(0).alias("depth"))
+    edges = links.select(F.col("source_memory_id").alias("id"), F.col("target_memory_id").alias("to"), "relation")
+    seen = starts.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("relation")).distinct()
     front = seen
     for step in range(1, max(1, min(depth, 5)) + 1):
-        front = front.select("id").join(edges, "id").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(step))
+        met = front.select("id").join(edges, "id").groupBy(F.col("to").alias("id")).agg(F.min("relation").alias("relation"))
+        front = written(met.join(seen.select("id"), "id", "left_anti").select("id", F.lit(step).alias("depth"), "relation"), "front")
         seen = seen.unionByName(front)
-    return seen.where("depth > 0")
+    return seen.where("depth > 0").select("id", "depth", *(["relation"] if first_relation else []))
 
 
 def chain(rows: DataFrame, start: int) -> DataFrame:
@@ -78,6 +82,13 @@ def co_occurring(found: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("x.e").alias("source"), F.col("y.e").alias("target")).agg(F.count("*").alias("n"))
 
 
+def shared(found: DataFrame) -> DataFrame:
+    """Rows of (source, target): members (component, id, entities) of one cluster that share an entity."""
+    flat = found.select("component", "id", F.explode("entities").alias("e")).distinct()
+    pairs = flat.alias("x").join(flat.alias("y"), (F.col("x.component") == F.col("y.component")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.id") < F.col("y.id")))
+    return pairs.select(F.col("x.id").alias("source"), F.col("y.id").alias("target")).distinct()
+
+
 def changes(rows: DataFrame, start: Column, end: Column, limit: int = 100) -> DataFrame:
     return rows.where(F.col("updated_at").between(start, end)).orderBy(F.desc("updated_at"), "id").limit(limit)
 

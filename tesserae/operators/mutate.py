@@ -27,6 +27,21 @@ def supersede(memories: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.withColumn("status", status).withColumn("supersedes_id", F.coalesce("_from", "supersedes_id")).drop("_old", "_from")
 
 
+def merge(memories: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`pairs` (source, target): the source is superseded by the target, whose metadata lists it under `merged_from`.
+
+    Pairs of deleted rows, of a row with itself and of rows that may not be linked change nothing.
+    """
+    from tesserae.functions import documents
+
+    side = memories.select("id", "status", "scope", "user_id", "session_id", "project_id").where("status <> 'deleted'")
+    ok = pairs.where("source <> target").join(side.alias("a"), F.col("source") == F.col("a.id")).join(side.alias("b"), F.col("target") == F.col("b.id")).where(scope.may_link("a", "b")).select("source", "target")
+    taken = ok.groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("source")).alias("_sources"))
+    out = supersede(memories, ok.select(F.col("source").alias("old"), F.col("target").alias("new"))).join(taken, "id", "left")
+    merged = documents.merged_from(F.col("metadata"), F.coalesce("_sources", F.array().cast("array<bigint>")))
+    return out.withColumn("metadata", F.when(F.col("_sources").isNotNull(), merged).otherwise(F.col("metadata"))).drop("_sources")
+
+
 def transition(memories: DataFrame, moves: DataFrame) -> DataFrame:
     """`moves` (id, to): statuses change where the move is allowed; `moved` tells."""
     rows = memories.join(moves, "id", "left")

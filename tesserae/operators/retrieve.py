@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tesserae.functions import scope, scoring
 from tesserae.operators import lexical, vectors
+from tesserae.sources.shared import written
 
 
 def fuse(*channels: DataFrame, k: int = scoring.RRF_K) -> DataFrame:
@@ -35,17 +36,26 @@ def retrieve(memories: DataFrame, embeddings: DataFrame, query: str, vector: lis
 
 
 def budget(rows: DataFrame, order: list, most: int, body: str = "content") -> DataFrame:
-    """The prefix of ranked rows within a token budget; the first row always stays."""
+    """The prefix of ranked rows within a token budget; the first row always stays.
+
+    A row costs eight tokens or more, so no more than `most` / 8 rows can fit: a top-k before the running sum.
+    """
     by = W.orderBy(*order)
-    rows = rows.withColumn("tokens", scoring.token_estimate(F.col(body))).withColumn("position", F.row_number().over(by))
+    rows = rows.orderBy(*order).limit(most // 8 + 1).withColumn("tokens", scoring.token_estimate(F.col(body))).withColumn("position", F.row_number().over(by))
     rows = rows.withColumn("used", F.sum("tokens").over(by.rowsBetween(W.unboundedPreceding, 0)))
     return rows.where((F.col("position") == 1) | (F.col("used") <= most))
 
 
+def truncated(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: how many rows there were, how many the budget kept, and whether it cut any."""
+    n = rows.agg(F.count("*").alias("rows")).join(kept.agg(F.count("*").alias("kept")))  # one row each
+    return n.select("rows", "kept", (F.col("rows") > F.col("kept")).alias("truncated"))
+
+
 def context(memories: DataFrame, links: DataFrame, seeds: DataFrame, at: Column, most: int) -> DataFrame:
     """Seeds and the memories they link to, valid and visible, in order, within the budget."""
-    first = seeds.select("id", F.col("final_score").alias("score"), F.lit(0).alias("hop"))
+    seeds = written(seeds.select("id", F.col("final_score").alias("score")), "seeds")  # at most 50 rows, used three times
     next_ids = links.join(F.broadcast(seeds.select(F.col("id").alias("source_memory_id"))), "source_memory_id").select(F.col("target_memory_id").alias("id")).distinct()
     next_ids = next_ids.join(F.broadcast(seeds.select("id")), "id", "left_anti").select("id", F.lit(0.0).alias("score"), F.lit(1).alias("hop"))
-    rows = memories.join(F.broadcast(first.unionByName(next_ids)), "id").where(scope.not_hidden() & scope.valid_at(at))
+    rows = memories.join(seeds.withColumn("hop", F.lit(0)).unionByName(next_ids), "id").where(scope.not_hidden() & scope.valid_at(at))
     return budget(rows, ["hop", F.desc("score"), "id"], most)

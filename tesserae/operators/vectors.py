@@ -53,8 +53,33 @@ def pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
     return tasks.groupBy("i", "j").applyInPandas(run, "a long, b long, score double")
 
 
-def best_match(candidates: DataFrame, vectors: DataFrame, floor: Column) -> DataFrame:
-    """For each of a few candidates its most similar row: rows of (candidate, id, score); ties: least id."""
-    met = vectors.join(F.broadcast(candidates.select(F.col("id").alias("candidate"), F.col("vec").alias("cvec"))), F.col("id") != F.col("candidate"))
-    met = met.withColumn("score", F.round(scoring.dot(F.col("vec"), F.col("cvec")), 5)).where(F.col("score") >= floor)
-    return met.groupBy("candidate").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("m")).select("candidate", (-F.col("m.neg")).alias("id"), F.col("m.score").alias("score"))
+def best_matches(candidates: DataFrame, vectors: DataFrame, floor: float, kind: str, block: int = 2048) -> DataFrame:
+    """For each candidate (id, vec, kind) its most similar other row of its kind: (candidate, id, score); ties: least id.
+
+    Vectors meet blocks of candidates of their kind, and each task multiplies one block with a share of
+    the vectors; only a best match for each candidate leaves it.
+    """
+    sizes = candidates.groupBy(kind).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    left = candidates.join(sizes, kind).select(kind, F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "vec", F.lit(True).alias("asked"))
+    spread = vectors.join(sizes, kind).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    many = vectors.groupBy(kind).agg(F.ceil(F.count("*") / block).alias("shares"))
+    right = spread.join(many, kind).select(kind, "block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares")).alias("share"), "id", "vec", F.lit(False).alias("asked"))
+    left = left.join(many, kind).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select(right.columns)
+
+    def run(pdf):
+        import pandas as pd
+
+        a, b = pdf[pdf["asked"]], pdf[~pdf["asked"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"candidate": [], "id": [], "score": []})
+        b = b.sort_values("id")
+        x, y = (np.stack(p["vec"].to_list()).astype(np.float64) for p in (a, b))
+        score = np.round(x @ y.T, 5)
+        score[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
+        at = score.argmax(1)
+        best = score[np.arange(len(a)), at]
+        keep = best >= floor
+        return pd.DataFrame({"candidate": a["id"].to_numpy()[keep], "id": b["id"].to_numpy()[at][keep], "score": best[keep]})
+
+    found = left.unionByName(right).groupBy(kind, "block", "share").applyInPandas(run, "candidate long, id long, score double")
+    return found.groupBy("candidate").agg(F.max(F.struct("score", (-F.col("id")).alias("neg"))).alias("m")).select("candidate", (-F.col("m.neg")).alias("id"), F.col("m.score").alias("score"))

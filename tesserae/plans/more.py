@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tesserae.functions import scope, scoring, segment, text
+from tesserae.functions import highlight, scope, scoring, text, thai
 from tesserae.operators import graph, lexical, mutate, retrieve
 from tesserae.plans import views
 from tesserae.plans.registry import SHOWN, VISIBLE, WHO, query
@@ -24,9 +24,9 @@ def _(spark, d):
     return views.memories(spark, d).join(keys, "id", "left_semi").select("id", "type")
 
 
-@query("s09_vocabulary", r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}\p{M}]+')) AS term FROM benchmark")
+@query("s09_vocabulary", r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}\p{M}]+')) AS term FROM documents")
 def _(spark, d):
-    return views.table(spark, d, "benchmark").select(F.explode(text.index_terms(F.col("text"))).alias("term")).distinct()
+    return views.table(spark, d, "documents").select(F.explode(text.index_terms(F.col("text"))).alias("term")).distinct()
 
 
 @query("f06_interaction_owner", "SELECT event_id FROM events WHERE user_id = 7 OR (user_id IS NULL)")
@@ -86,26 +86,48 @@ def _(spark, d):
     return views.table(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(5).select(F.col("o_orderkey").alias("id"))
 
 
-@query("x08_loose_form", "SELECT c_custkey AS id, lower(c_name) AS loose FROM customer")
+@query("x08_loose_form", "SELECT c_custkey AS id, regexp_replace(lower(c_name || ' ติดตั้ง เซิร์ฟเวอร์ น้ำ'), '[่-ํ]', '', 'g') AS loose FROM customer")
 def _(spark, d):
-    return views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.loose(F.col("c_name")).alias("loose"))
+    return views.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), thai.loose(F.concat(F.col("c_name"), F.lit(" ติดตั้ง เซิร์ฟเวอร์ น้ำ"))).alias("loose"))
 
 
-@query("x12_thai_segments", None)
+_THAI = "CASE id % 5 WHEN 0 THEN 'ผมใช้ฐานข้อมูล postgres' WHEN 1 THEN 'ติดตั้งแพ็กเกจใหม่ v2' WHEN 2 THEN 'ความจำเป็น' WHEN 3 THEN 'plain  text' ELSE 'ใช้pnpmเร็วมาก ๆ' END || ' ' || substr(content, 1, 40)"
+_PADDED = f"CASE WHEN regexp_matches(t, '[฀-๿]') THEN regexp_replace(regexp_replace(t, '{thai.word_pattern()}', ' \\1 ', 'g'), ' {{2,}}', ' ', 'g') ELSE t END"
+
+
+@query("x12_thai_segments", f", t AS (SELECT id, {_THAI} AS t FROM memories) SELECT id, {_PADDED} AS padded, regexp_extract_all(lower({_PADDED}), '[a-z0-9]+|[฀-๿]+') AS words FROM t".replace("\\\\1", "\\1"))
+def _(spark, d):
+    t = F.expr(_THAI)
+    return views.memories(spark, d).select("id", thai.segmented(t).alias("padded"), thai.word_tokens(t).alias("words"))
+
+
+@query("x11_forced_words", None)
+def _(spark, d):
+    rows = spark.createDataFrame([("ติดตั้งฐานข้อมูล",), ("ระบบฐานข้อมูลใหม่",), ("ฐาน ข้อมูล",), ("none",)], "content string")
+    return rows.select("content", thai.word_tokens(F.col("content"), forced={"ระบบฐานข้อมูล": "ระบบฐานข้อมูล", "ติดตั้งฐานข้อมูล": "ติดตั้ง"}).alias("words"))
+
+
+@query("x07_has_thai", "SELECT id, id % 5 <> 3 AS thai FROM memories")
+def _(spark, d):
+    return views.memories(spark, d).select("id", thai.has_thai(F.expr(_THAI)).alias("thai"))
+
+
+@query("x24_sanitize", r"SELECT page_id, regexp_replace(CASE WHEN page_id % 2 = 0 THEN html || '<MEMORY-Reference a=1>x</memory-reference>' ELSE html END, '(?i)<(/?memory-reference\b[^>]*>)', '&lt;\1', 'g') AS html FROM pages")
 def _(spark, d):
-    rows = spark.createDataFrame([("ผมใช้ฐานข้อมูล postgres",), ("ติดตั้งแพ็กเกจ",), ("plain text",)], "content string")
-    return rows.select("content", segment.segment_for_index("content").alias("padded"), segment.word_tokens("content").alias("words"))
+    html = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<MEMORY-Reference a=1>x</memory-reference>"))).otherwise(F.col("html"))
+    return views.table(spark, d, "pages").select("page_id", text.sanitize(html).alias("html"))
 
 
-@query("x24_sanitize", r"SELECT page_id, regexp_replace(html, '(?i)<(/?memory-reference\b[^>]*>)', '&lt;\1', 'g') AS html FROM pages")
+@query("x26_highlight", "SELECT p_partkey, CASE WHEN contains(p_name, ' ') THEN '[mem]' || p_name || '[/mem] of [mem]' || p_brand || '[/mem]' ELSE p_name || ' of [mem]' || p_brand || '[/mem]' END AS shown FROM part")
 def _(spark, d):
-    return views.table(spark, d, "pages").select("page_id", text.sanitize(F.col("html")).alias("html"))
+    wanted = F.array(F.upper(F.col("p_brand")), F.when(F.col("p_name").contains(" "), F.col("p_name")).otherwise(""), F.lit("absent"))
+    return views.table(spark, d, "part").select("p_partkey", highlight.highlighted(F.concat("p_name", F.lit(" of "), "p_brand"), wanted).alias("shown"))
 
 
-@query("x26_highlight", None)
+@query("x27_spans", None)
 def _(spark, d):
-    rows = spark.createDataFrame([("Use PNPM with pnpm scripts", ["pnpm", "pnpm scripts"]), ("nothing", ["x"])], "content string, wanted array<string>")
-    return rows.select(segment.highlighted("content", "wanted").alias("content"))
+    rows = spark.createDataFrame([("Use PNPM with pnpm scripts", ["pnpm", "pnpm scripts", "scripts run"]), ("aaaa", ["aa"]), ("nothing", ["x"])], "content string, wanted array<string>")
+    return rows.select("content", highlight.memory_spans("content", "wanted").alias("spans"), highlight.underlined("content", "wanted").alias("shown"))
 
 
 @query("m08_token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 4) + 8 AS BIGINT) AS tokens FROM documents")

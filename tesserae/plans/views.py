@@ -58,6 +58,53 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "embedding AS vec")
 
 
+#: Further tables, each as (Spark expressions, SQL expressions, base table); where there is one list it holds for both.
+_MORE = {
+    "users": ("customer", "c_custkey AS id; concat('u', c_custkey) AS external_id; c_name AS name; CASE c_custkey % 4 WHEN 0 THEN 'reader' WHEN 1 THEN 'writer' WHEN 2 THEN 'owner' ELSE 'admin' END AS role"),
+    "grants": (
+        "customer",
+        "c_custkey % 50 AS grantee_user_id; CASE c_custkey % 4 WHEN 0 THEN 'GLOBAL' WHEN 1 THEN 'USER' WHEN 2 THEN 'PROJECT' ELSE 'SESSION' END AS scope_kind;"
+        "CASE c_custkey % 4 WHEN 0 THEN '*' WHEN 1 THEN concat('u', c_custkey % 7) WHEN 2 THEN concat('p', c_custkey % 5) ELSE concat('s', c_custkey % 7) END AS scope_ref;"
+        "CASE WHEN c_custkey % 3 = 0 THEN 'write' ELSE 'read' END AS permission",
+    ),
+    "preferences": (
+        "part",
+        "p_partkey AS id; CASE p_partkey % 5 WHEN 0 THEN 'work_style' WHEN 1 THEN 'coding_pref' WHEN 2 THEN 'language' WHEN 3 THEN 'domain' ELSE 'other' END AS category; p_name AS key; p_brand AS value;"
+        "CAST(p_size % 10 + 1 AS DOUBLE) / 10 AS confidence; CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 50 END AS user_id",
+    ),
+    "lessons": (
+        "orders",
+        "o_orderkey AS id; concat('order of ', o_orderpriority) AS situation; concat('status ', o_orderstatus) AS mistake; concat('check customer ', CAST(o_custkey AS STRING)) AS correction;"
+        "o_orderdate AS created_at; CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 50 END AS user_id",
+    ),
+    "entities": ("part", "p_partkey AS id; p_name AS name; lower(trim(p_name)) AS canonical_name; p_type AS type"),
+    "relations": (
+        "events",
+        "event_id AS id; event_id * 7 % 500 AS source_entity_id; event_type AS relation; event_id * 11 % 400 AS target_entity_id; CASE WHEN event_id % 4 > 0 THEN event_id % 300 END AS source_memory_id",
+    ),
+    "tokens": ("supplier", "s_suppkey AS id; s_suppkey * 3 % 150 AS user_id; concat('thm_', s_name) AS token; s_suppkey % 5 = 0 AS revoked"),
+    "audit": ("events", "event_id AS id; ts; user_id AS actor; event_type AS action"),
+    "captured": (
+        "conversations",
+        "conv_id * 100 + turn AS id; concat('c', conv_id % 40) AS session_id; CASE role WHEN 'user' THEN 'prompt' WHEN 'assistant' THEN 'tool_call' ELSE 'error' END AS kind; text AS content;"
+        "CASE WHEN conv_id % 3 > 0 THEN conv_id % 50 END AS user_id;"
+        "CASE WHEN conv_id % 11 = 0 THEN NULL WHEN conv_id % 11 = 1 THEN 'not json' WHEN conv_id % 11 = 2 THEN '[1]' WHEN conv_id % 11 = 3 THEN '{\"tool\":7,\"directory\":\"  \"}'"
+        " ELSE concat('{\"tool\":\" t', conv_id % 17, '\",\"directory\":\"/d', turn % 7, '\"}') END AS meta",
+    ),
+}
+
+
+def more(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the further tables: users, grants, preferences, lessons, entities, relations, tokens, audit, captured."""
+    base, columns = _MORE[name]
+    return table(spark, sf_dir, base).selectExpr(*[c.strip() for c in columns.split(";")])
+
+
+def more_sql(*names: str) -> str:
+    """The same tables as common table expressions, each after a comma."""
+    return "".join(f", {n} AS (SELECT {_MORE[n][1].replace(';', ', ')} FROM {_MORE[n][0]})" for n in names)
+
+
 def _list(words: list[str]) -> str:
     return "[" + ",".join(f"'{w}'" for w in words) + "]"
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: The vocabularies of the data model.
 MEMORY_TYPES = "FACT PREFERENCE GOAL DECISION CONSTRAINT LESSON PROCEDURE EPISODE RELATION PROFILE DERIVED".split()
 SOURCE_TYPES = "explicit corrected inferred captured consolidated imported system".split()
 STATES = "new active reinforced stale superseded archived deleted".split()

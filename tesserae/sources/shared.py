@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def durable(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def durable(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(top)
     return top
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write rows to the shared folder and read them again: computed once, and no executor's loss takes them."""
+    path = f"{durable(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,9 +1,10 @@
 """Golden cases of the text, scoring, scope and conflict functions."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tesserae.functions import scope, scoring, text
-from tesserae.operators import conflict, graph, mutate
+from tesserae.functions import documents, highlight, scope, scoring, text, thai
+from tesserae.operators import conflict, graph, lexical, mutate, recall, retrieve, vectors, writes
 
 
 def value(spark, column, row=(1,), schema="x int"):
@@ -56,3 +57,70 @@ def test_graph_and_changes(spark):
     assert [tuple(r) for r in graph.chain(rows, 3).orderBy("position").collect()] == [(1, 1), (2, 2), (3, 3)]
     moves = mutate.transition(spark.createDataFrame([(1, "active"), (2, "deleted")], "id long, status string"), spark.createDataFrame([(1, "stale"), (2, "active")], "id long, to string"))
     assert {(r.id, r.status) for r in moves.collect()} == {(1, "stale"), (2, "deleted")}
+
+
+def test_thai_words_and_phrases(spark):
+    assert thai.query_phrases("foo-bar CAFÉ deploy ติดตั้งระบบ") == [["foo", "bar"], ["cafe"], ["deploy"], ["ดีพลอย"], ["ติดตั้ง", "ระบบ"]]
+    assert thai.query_phrases("ติดตั้ง", fuzzy=True) == [["ติดตัง"]]
+    assert value(spark, thai.segmented(F.lit("ใช้pnpmค้นหา"))) == " ใ ช้ pnpm ค้นหา "
+    assert value(spark, thai.segmented(F.lit(" ใ ช้ pnpm ค้นหา "))) == " ใ ช้ pnpm ค้นหา "
+    assert value(spark, thai.expanded(thai.segmented(F.lit("please deploy it")))) == "please deploy it ดีพลอย"
+    assert value(spark, thai.expanded(thai.segmented(F.lit("ความจำเป็น")))).split()[-1] == "memory"
+    assert value(spark, thai.expanded(F.lit("redeploy"))) == "redeploy"
+    assert value(spark, thai.word_tokens(F.lit("ระบบฐานข้อมูล x"), forced={"ระบบฐานข้อมูล": "ระบบฐานข้อมูล"})) == ["ระบบฐานข้อมูล", "x"]
+
+
+def test_search_finds_phrases_accents_and_tones(spark):
+    rows = [(1, "FACT", "the foo-bar tool"), (2, "FACT", "bar foo"), (3, "FACT", "un Café noir"), (4, "GOAL", "ติดตั้งระบบ"), (5, "GOAL", "ติดตังระบบ"), (6, "GOAL", "ดีพลอย now")]
+    docs = spark.createDataFrame(rows, "id long, type string, content string")
+    found = lambda q, **k: [r.id for r in lexical.search(docs, q, **k).orderBy("rank").collect()]
+    assert found("foo-bar") == [1] and found("cafe") == found("CAFÉ") == [3]
+    assert found("deploy") == [6] and found("goal 3") == [3, 4, 5, 6] or sorted(found("goal 3")) == [3, 4, 5, 6]
+    assert found("ติดตั้ง") == [4, 5] and found("ติดตัง")[0] == 5  # strict first, then the loose channel
+    assert found("foo-bar", visible=F.col("id") > 1) == [] and found("   ") == [] and sorted(found("memories")) == [1, 2, 3, 4, 5, 6]
+
+
+def test_highlights_match_a_plain_walk(spark):
+    assert highlight.spans("aaaa", ["aa"]) == [(0, 4, "aa")] and highlight.spans("abcd", ["ab", "cd"]) == [(0, 2, "ab"), (2, 4, "cd")]
+    assert highlight.spans("Use PNPM scripts", ["pnpm", "pnpm scripts", "scripts"]) == [(4, 16, "pnpm scripts")]
+    assert highlight.marked("ab", highlight.spans("ab", ["B"])) == "a[mem]b[/mem]"
+
+
+def test_candidates_of_a_shown_block():
+    shown = "The content inside x\n<memory-reference>\n[lessons]\n- order | mistake: a b -> correction: use pnpm\n- [2024-01-01] (prompt) how to deploy\n[odd\n</memory-reference>"
+    assert documents.candidate_lines(shown) == ["order | mistake: a b -> correction: use pnpm", "order", "mistake: a b -> correction: use pnpm", "use pnpm", "how to deploy"]
+    assert documents.candidate_lines('No memory found for "x"') == []
+
+
+def test_normalize_maps_compatible_letters(spark):
+    assert value(spark, text.normalize(F.lit("ﬁle  Ｎａｍｅ, a - b"))) == "file name a  b"
+
+
+def test_budget_keeps_every_row_that_fits(spark):
+    rows = spark.range(600).selectExpr("id", "'' AS content")
+    assert retrieve.budget(rows, [F.col("id")], 4000).count() == 500
+
+
+def test_recalled_block(spark):
+    lines = spark.createDataFrame([("lessons", 1, "- b"), ("preferences", 2, "- y"), ("preferences", 1, "- x"), ("zzz", 1, "- z")], "section string, place int, line string")
+    shown = recall.recalled(lines, "t").first().shown
+    assert "[preferences]\n- x\n- y\n\n[lessons]\n- b\n\n[zzz]\n- z" in shown
+    assert recall.recalled(lines.limit(0), "t").first().shown == 'no memory found for "t"'
+
+
+def test_numbers_follow_the_order(spark):
+    rows = spark.range(1000).selectExpr("id * 7 % 1000 AS k")
+    got = writes.numbered(rows, ["k"], "n", spark.createDataFrame([(10,)], "x long")).collect()
+    assert sorted((r.k, r.n) for r in got) == [(i, i + 11) for i in range(1000)]
+
+
+def test_best_match_by_blocks(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(300, 8))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]], "ab"[i % 2]) for i in range(300)], "id long, vec array<double>, kind string")
+    got = {r.candidate: r.id for r in vectors.best_matches(rows.where("id % 20 = 0"), rows, -1.0, "kind", block=16).collect()}
+    score = np.round(v @ v.T, 5)
+    for i in range(0, 300, 20):
+        others = [j for j in range(300) if j != i and j % 2 == i % 2]
+        assert got[i] == max(others, key=lambda j: (score[i, j], -j))
