@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+#: Payload bytes of an image: memory is some hundred bytes for each.
+PART = 1 << 22
 WIDTH = 64  # blocks in a row of a stored payload; a wider row only where 65,535 pixels of height don't do
 _MOST = 65535 // 8
 
@@ -59,12 +61,30 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 def store(payload: bytes) -> bytes:
-    """A baseline JPEG that holds the payload; its length stands in a comment."""
+    """Baseline JPEG that holds the payload: one image, or for a long payload images one after the other, of PART bytes each."""
+    return b"".join(_image(payload[i : i + PART]) for i in range(0, max(1, len(payload)), PART))
+
+
+def images(data: bytes) -> list[bytes]:
+    """The images of a file that `store` made; any other file is one image."""
+    out, i = [], 0
+    while data[i : i + 2] == b"\xff\xd8":
+        h = parse(data[i:])
+        if not h.comment.startswith(b"payload="):
+            break
+        end = data.find(b"\xff\xd9", i + h.start) + 2  # no entropy-coded byte looks like it
+        if end < 2:
+            break
+        out.append(data[i:end])
+        i = end
+    return out if out and i == len(data) else [data]
+
+
+def _image(payload: bytes) -> bytes:
+    """One image; the payload's length stands in a comment."""
     n = len(payload)
-    width = WIDTH * -(-n // (WIDTH * _MOST))
-    if width > _MOST:
-        raise ValueError("a payload of over 66 MB needs several images")
-    height = -(-n // width)
+    width = WIDTH * max(1, -(-n // (WIDTH * _MOST)))
+    height = max(1, -(-n // width))
     grid = np.zeros(width * height, np.int64)
     grid[:n] = np.frombuffer(payload, np.uint8)
     grid = grid.reshape(height, width) - 128
@@ -155,20 +175,32 @@ def parse(data: bytes) -> Header:
             i += 1
             continue
         n = int.from_bytes(data[i + 2 : i + 4], "big")
+        if n < 2:
+            raise ValueError("bad length")
         body = data[i + 4 : i + 2 + n]
         if marker == 0xC0:
-            _, h.height, h.width, count = struct.unpack(">BHHB", body[:6])
+            if len(body) < 6 or len(body) < 6 + 3 * body[5]:
+                raise ValueError("frame cut off")
+            precision, h.height, h.width, count = struct.unpack(">BHHB", body[:6])
+            if precision != 8 or not h.height or not h.width or not count:
+                raise ValueError("no baseline frame")
             h.parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(count)]
+            if any(not 1 <= x <= 4 for p in h.parts for x in p[1:3]):
+                raise ValueError("bad sampling factors")
         elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
             raise ValueError("not baseline")
         elif marker == 0xDB:
             while body:
                 wide = body[0] >> 4
+                if wide > 1 or len(body) < 1 + 64 * (1 + wide):
+                    raise ValueError("bad quantisation table")
                 h.dc_quant[body[0] & 15] = int.from_bytes(body[1 : 2 + wide], "big")
                 body = body[1 + 64 * (1 + wide) :]
         elif marker == 0xC4:
             while body:
                 counts = tuple(body[1:17])
+                if len(body) < 17 + sum(counts) or sum(c << 16 - n for n, c in enumerate(counts, 1)) > 1 << 16:
+                    raise ValueError("bad code table")
                 h.tables[body[0]] = (counts, tuple(body[17 : 17 + sum(counts)]))
                 body = body[17 + sum(counts) :]
         elif marker == 0xDD:
@@ -176,10 +208,18 @@ def parse(data: bytes) -> Header:
         elif marker == 0xFE:
             h.comment = body
         elif marker == 0xDA:
+            if not body or len(body) < 1 + 2 * body[0] or not body[0]:
+                raise ValueError("scan header cut off")
             h.scan = [(body[1 + 2 * k], body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
             h.start = i + 2 + n
-            if not h.parts:
+            if not h.parts or not {c for c, _, _ in h.scan} <= {p[0] for p in h.parts}:
                 raise ValueError("scan before frame")
+            wanted = {t for _, d, a in h.scan for t in (d, 16 | a)}
+            if not wanted <= set(h.tables) or {p[0]: p for p in h.parts}[h.scan[0][0]][3] not in h.dc_quant:
+                raise ValueError("tables missing")
+            across, down = h.units()
+            if across * down * len(h.blocks()) * 2 > 8 * (len(data) - h.start):  # a block takes two bits or more
+                raise ValueError("larger than its data")
             return h
         i += 2 + n
     raise ValueError("no scan")
@@ -247,6 +287,8 @@ def decode(files: list[tuple[bytes, Header]]) -> list[np.ndarray]:
             p = pos[live]
             bits = peek(p)
             size, used = look(tables[d], bits)
+            if (size > 15).any():
+                raise ValueError("bad size")
             v = (bits << used >> np.uint64(1) >> (np.uint64(63) - size)).astype(np.int64)
             now = previous[part, live] + v - np.where(v < half[size], under[size], 0)
             previous[part, live] = now

@@ -1,7 +1,7 @@
 """Operator 4: secret scans through a trigram inverted index.
 
 Each rule's regular expression gives a Boolean query over trigrams (see trigrams.py). A block of
-documents (an Arrow batch) gets postings for the trigrams that the rules ask for; a rule's query
+documents (a slice of an Arrow batch) gets postings, in one pass over its own trigrams, for the trigrams that the rules ask for; a rule's query
 is answered by intersecting and uniting postings, and only the candidates are searched with the
 expression itself. A rule without mandatory trigrams, such as long runs of hex digits, is tried
 on every text. The index never leaves its block, so nothing is shuffled and a lost task is run
@@ -9,7 +9,8 @@ again from its input.
 
 A null or empty text has no spans. Texts are searched whole, as code points. Matches of one rule
 don't overlap and are found leftmost first; matches of different rules may overlap and all stay.
-Repeated rows give repeated results, an empty table an empty result.
+Repeated rows give repeated results, an empty table an empty result. Other columns are dropped by
+`scan` and kept as they are, whatever their names, by `redacted`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, map_batches, map_whole
-from .trigrams import Block, compiled, grams, query
+from .trigrams import Block, Index, compiled, grams, query
 
 
 @dataclass(frozen=True)
@@ -64,9 +65,9 @@ RULES = BASE + MORE
 
 
 @cache
-def _ready(rules: tuple[Rule, ...]) -> tuple[list, set[str]]:
+def _ready(rules: tuple[Rule, ...]) -> tuple[list, Index]:
     ready = [(r, compiled(r.pattern, r.flags), query(r.pattern)) for r in rules]
-    return ready, set().union(*(grams(q) for _, _, q in ready))
+    return ready, Index(set().union(*(grams(q) for _, _, q in ready)))
 
 
 def find(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, str]]]:
@@ -81,6 +82,13 @@ def find(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[list[
     return [[(a, b, rules[k].kind) for a, k, b in sorted(x)] for x in found]
 
 
+def candidate_counts(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> dict[str, int]:
+    """How many texts each rule's trigram query leaves to be searched."""
+    ready, wanted = _ready(rules)
+    block = Block([x or "" for x in texts], wanted)
+    return {r.kind: len(block.candidates(q)) for r, _, q in ready}
+
+
 def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of (key, spans array<struct<start, end, kind>>)."""
     kind = df.schema[key].dataType.simpleString()

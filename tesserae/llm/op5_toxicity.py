@@ -6,7 +6,8 @@ weights to exactly zero under L1, so the model that is broadcast for scoring is
 float32 values (1 MB) whatever the corpus.
 
 The model is fitted on at most `sample` labelled rows (default SAMPLE), those with the smallest
-hash of doc_id, on the driver, which gets their feature numbers only; scoring covers all rows.
+hash of doc_id, and at most BYTES of their features, on the driver, which gets their feature
+numbers only; scoring covers all rows.
 A null or empty text scores as the bias alone. Rows with a null doc_id are never training rows.
 A document labelled more than once counts as toxic if any label says so; without usable labels
 every score is PRIOR. Equal texts get equal scores. Very long texts are scored whole, in one
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, map_whole
+from .common import documents, map_batches, map_whole, materialize, release
 
 BITS = 18
-SAMPLE = 8000
+#: Labelled rows, and bytes of their features (four for each), that come to the driver at most.
+SAMPLE, BYTES = 8000, 128_000_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 8.0, 0.0
 #: The value of a present pair (a present word has 1), and how often a toxic row is repeated.
@@ -100,17 +102,26 @@ def fit(rows: list[tuple[np.ndarray, int]]) -> np.ndarray | None:
     return (model.weights() * value(np.arange((1 << BITS) + 1))).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
-    """Fit on at most `sample` labelled rows whose crc32(doc_id as text) mod 3 is not 1."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BYTES) -> np.ndarray | None:
+    """Fit on at most `sample` labelled rows whose crc32(doc_id as text) mod 3 is not 1, and `most` bytes of features.
+
+    Of rows that repeat a doc_id the first text counts. Rows are taken in the order of a hash of
+    doc_id until one of the bounds is met; with texts of the usual length that is the first.
+    """
     usable = labels.where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 3 != 1")
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(keys, texts, toxic):
         return [keys, [features(x).astype(np.uint32).tobytes() for x in texts], toxic]
 
-    got = map_batches(texts, "doc_id long, at binary, toxic int", run).collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.at))
+    found = materialize(map_batches(texts.select("doc_id", "text", "toxic"), "doc_id long, at binary, toxic int", run), "features")
+    sizes = found.select("doc_id", F.octet_length("at").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fits = int(np.searchsorted(np.cumsum([r.n for r in sizes]), most, "right")) if sizes else 0
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fits).collect() if fits < len(sizes) else found.collect()
+    release(found)
+    got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
     return fit([(np.frombuffer(r.at, np.uint32).astype(np.int64), int(r.toxic)) for r in got])
 
 

@@ -13,7 +13,8 @@ The join is an as-of join in two levels, within blocks of BLOCK turns and over t
 so neither a hot conversation nor a line that a conversation repeats is ever gathered in one task.
 Roots are found by pointer doubling over the replies only.
 
-Null texts say and quote nothing (body ""); a null turn or conv_id links with nothing. Rows that
+Messages of any length are taken whole, in time that grows with their lines. Null texts say and
+quote nothing (body ""); a null turn or conv_id links with nothing. Rows that
 repeat a (conv_id, turn) all stay, and share the least parent. An empty table gives an empty
 result; other columns are dropped.
 """
@@ -50,16 +51,27 @@ def parsed(messages: DataFrame) -> DataFrame:
     return out.withColumn("body", body)
 
 
+def _starts(lines: Column) -> Column:
+    """Where a run of lines of one level begins, from 0; and the number of lines."""
+    places = F.sequence(F.lit(0), F.size(lines) - 1)  # there is one line at least
+    fresh = F.filter(places, lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+    return F.concat(fresh, F.array(F.size(lines)))
+
+
 def _passages(lines: Column) -> Column:
-    """Runs of quoted lines of one level: array<struct<level, texts>>."""
-    def add(runs: Column, x: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        item = F.struct(x["level"].alias("level"), F.array(x["text"]).alias("texts"))
-        longer = F.struct(x["level"].alias("level"), F.concat(last["texts"], F.array(x["text"])).alias("texts"))
-        return F.when(last["level"] == x["level"], F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(item)))
+    """Runs of quoted lines of one level: array<struct<level, texts>>. Each line is looked at a fixed number of times."""
+
+    def runs(starts: Column) -> Column:
+        whole = F.transform(F.slice(starts, 1, F.size(starts) - 1), lambda a, k: F.slice(lines, a + 1, F.get(starts, k + 1) - a))
+        quoted = F.filter(whole, lambda r: r[0]["level"] > 0)
+        return F.transform(quoted, lambda r: F.struct(r[0]["level"].alias("level"), F.transform(r, lambda x: x["text"]).alias("texts")))
+
+    return let(_starts(lines), runs)
+
 
-    runs = F.aggregate(lines, F.array().cast("array<struct<level:int,texts:array<string>>>"), add)
-    return F.filter(runs, lambda r: r["level"] > 0)
+def _quotes(lines: Column) -> Column:
+    """The number of passages."""
+    return F.size(F.filter(_starts(lines), lambda i: F.coalesce(F.get(lines, i)["level"] > 0, F.lit(False)))).cast("long")
 
 
 def _units(messages: DataFrame) -> DataFrame:
@@ -68,7 +80,7 @@ def _units(messages: DataFrame) -> DataFrame:
     said = F.array_distinct(F.concat(F.array("body"), F.split("body", r"\n\s*\n"), F.split("body", "\n")))
     own = of.select("conv_id", "turn", F.lit(True).alias("own"), F.lit(0).alias("level"), F.explode(said).alias("unit"))
     quoting = of.where(F.exists("lines", lambda x: x["level"] > 0))
-    runs = quoting.select("conv_id", "turn", F.explode(_passages(F.col("lines"))).alias("run"))
+    runs = quoting.select("conv_id", "turn", F.explode(let(F.col("lines"), _passages)).alias("run"))
     quoted = runs.select("conv_id", "turn", F.lit(False).alias("own"), F.col("run.level").alias("level"), F.explode(F.array_distinct(F.concat(F.array(F.array_join("run.texts", "\n")), F.col("run.texts")))).alias("unit"))
     units = own.unionByName(quoted).withColumn("unit", normal(F.col("unit"))).where("unit <> ''")
     return units.select("conv_id", "turn", "own", "level", F.length("unit").alias("size"), F.sha2("unit", 256).alias("key"))
@@ -106,7 +118,7 @@ def format_chat(messages: DataFrame) -> DataFrame:
     said = parsed(messages.select("conv_id", "turn", "role", "text"))
     replies = materialize(linked(said), "linked")
     trees = replies.join(threads(replies), ["conv_id", "turn"])
-    n_quotes = F.size(let(F.col("lines"), _passages)).cast("long")
+    n_quotes = let(F.col("lines"), _quotes)
     out = said.select("conv_id", "turn", "role", "body", n_quotes.alias("n_quotes")).join(trees, ["conv_id", "turn"], "left")
     return out.select(
         "conv_id",

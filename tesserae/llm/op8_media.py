@@ -4,15 +4,17 @@
 DC-only luminance thumbnail, thumbnail hash and mean luminance. The query stores each text as the
 DC coefficients of an image, reads the files back and derives its digests from what it has read.
 
-A null text is an empty one, stored as 64 zero bytes. Files that aren't baseline JPEG, and null
-ones, give nulls in `inspect`. Texts of any length up to 66 MB are one file. Equal texts give
-equal files. Nothing is shuffled; batches are cut to some MB of payload. An empty table gives an
-empty result.
+A null text is an empty one, stored as 64 zero bytes. Files that aren't baseline JPEG, cut off or
+forged, and null ones, give nulls in `inspect`. Texts of any length are one file, of several images
+one after the other beyond 4 MB; `inspect` describes the first. Equal texts give equal files, and
+repeated rows repeated results. Nothing is shuffled; batches are cut to some MB of payload. Other
+columns don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,10 @@ def media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return map_batches(df.select(key, text), f"`{key}` {kind}, media binary", lambda keys, texts: [keys, [jpeg.store(payload(x)) for x in texts]])
 
 
+#: What a damaged file may raise while it is read.
+_BROKEN = (ValueError, IndexError, KeyError, TypeError, ArithmeticError, struct.error, MemoryError)
+
+
 def _read(files: list[bytes]) -> list:
     """(header, thumbnail) of each file; None for what isn't a baseline JPEG."""
     out: list = []
@@ -45,11 +51,11 @@ def _read(files: list[bytes]) -> list:
             part = files[lo : i + 1]
             try:
                 out += jpeg.thumbnails(part)
-            except (ValueError, IndexError, KeyError, TypeError):
+            except _BROKEN:
                 for one in part:
                     try:
                         out += jpeg.thumbnails([one])
-                    except (ValueError, IndexError, KeyError, TypeError):
+                    except _BROKEN:
                         out.append(None)
             lo, size = i + 1, 0
     return out
@@ -78,12 +84,18 @@ def inspect(df: DataFrame, key: str = "doc_id", column: str = "media") -> DataFr
 
 
 def digests(df: DataFrame) -> DataFrame:
+    """Rows of what is read back from each text's file, by doc_id."""
+
     def run(keys, texts):
         rows = [[] for _ in range(7)]
         files = [jpeg.store(payload(x)) for x in texts]
-        for x, f, (h, image) in zip(texts, files, _read(files), strict=True):
-            back = jpeg.restore(h, image)
-            values = (len((x or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature(h, image))
+        parts = [jpeg.images(f) for f in files]
+        read = iter(_read([p for x in parts for p in x]))
+        for x, f, p in zip(texts, files, parts, strict=True):
+            got = [next(read) for _ in p]
+            back = b"".join(jpeg.restore(h, image) for h, image in got)
+            shown = ",".join(feature(h, image) for h, image in got)
+            values = (len((x or "").encode()), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(f), hashlib.sha256(f).hexdigest(), shown)
             for column, v in zip(rows, values, strict=True):
                 column.append(v)
         return [keys, *rows]
