@@ -6,7 +6,7 @@ numbers), and its surrogate is a function of a key, the kind and the canonical f
 has one surrogate wherever and however it is written, and the way it is written stays: separators,
 brackets, country code, letter case, title.
 
-* Numbers go through a keyed Feistel permutation of the digit strings of their length, so distinct
+* A phone number keeps its country code, read from its digits. Numbers go through a keyed Feistel permutation of the digit strings of their length, so distinct
   numbers get distinct surrogates. Cards that pass the Luhn test have surrogates that pass it.
 * IPv4 addresses go through a permutation of the 32-bit numbers.
 * E-mail addresses get `WIDTH` keyed letters (and the digits their local part ends in) at a reserved domain.
@@ -40,6 +40,8 @@ WIDTH = 9
 EXCEPTIONS_MOST = 20_000
 #: Maps are dealt into so many, as Spark searches a map from its start.
 BUCKETS = 1024
+#: The calling codes of countries, by their first digits.
+CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "Г-жа")
 _MALE = ("Mr", "Herr", "Monsieur", "Señor", "Г-н")
@@ -66,10 +68,13 @@ GIVEN = {
     ("f", "latin"): "Alma Berta Clara Dora Elena Flora Greta Helena Irma Julia Klara Laura Marta Nora Olga Paula".split(),
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jakob Konrad Leo Martin Nils Otto Paul".split(),
     ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лидия Мария Нина Ольга Полина Раиса София".split(),
+    ("f", "greek"): "Άννα Βέρα Γεωργία Δάφνη Ελένη Ζωή Ηρώ Θάλεια Ιωάννα Κλειώ Λυδία Μαρία Νίκη Ξένια Όλγα Σοφία".split(),
+    ("m", "greek"): "Ανδρέας Βασίλης Γιώργος Δήμος Ευάγγελος Ζήσης Ηλίας Θωμάς Ιωάννης Κώστας Λεωνίδας Μάρκος Νίκος Πέτρος Σταύρος Φώτης".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Никита Олег Павел Роман Семён".split(),
 }
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha ka ke ko la le lo ma me mo na ne no pa ra re ro sa se so ta to".split(),
+    "greek": "βα βε βο γα γε γο δα δε δο ζα ζε θα θο κα κε κο λα λε λο μα με μο να νε νο πα ρα ρε ρο σα σο τα".split(),
     "cyrillic": "ба бе бо да де до фа фе га го ха ка ке ко ла ле ло ма ме мо на не но па ра ре ро са се со та то".split(),
 }
 
@@ -132,11 +137,11 @@ def _letters(width: int, seed: Column, tries: Column) -> Column:
 
 
 def _number(m: Column, luhn: bool) -> Column:
-    prefix = F.regexp_extract(m, r"^\+(?:1(?=\d{10}$)|\d{1,3}(?=[ .(-]))", 0)  # a country code stays
-    rest = F.substring(m, F.length(prefix) + 1, F.length(m))
-    digits = F.regexp_replace(rest, r"\D", "")
+    digits = F.regexp_replace(m, r"\D", "")
     if not luhn:
-        return F.concat(prefix, _written(rest, _permuted(digits)))
+        # a country code stays; it is read from the digits, so that separators make no difference
+        code = F.when(m.startswith("+"), F.regexp_extract(digits, CALLING, 0)).otherwise("")
+        return let(code, lambda c: _written(m, F.concat(c, _permuted(F.substring(digits, F.length(c) + 1, F.length(digits))))))
     # the last digit of a valid card follows from the others, which are permuted
     head = _permuted(F.substring(digits, F.lit(1), F.length(digits) - 1))
     check = let(head, lambda h: F.concat(h, F.pmod(10 - _luhn(F.concat(h, F.lit("0"))), F.lit(10)).cast("string")))
@@ -188,12 +193,13 @@ def _drawn_female(bare: Column) -> Column:
     return _draw(2, F.lit("gender"), bare) == 0
 
 
-def _table(word: Column, cyrillic: list[str], latin: list[str]) -> Column:
-    return F.when(word.rlike(r"\p{IsCyrillic}"), _array(cyrillic)).otherwise(_array(latin))
+def _table(word: Column, by: dict[str, list[str]]) -> Column:
+    """The list of the word's script: Cyrillic, Greek, else Latin."""
+    return F.when(word.rlike(r"\p{IsCyrillic}"), _array(by["cyrillic"])).when(word.rlike(r"\p{IsGreek}"), _array(by["greek"])).otherwise(_array(by["latin"]))
 
 
 def _syllables(count: Column, *by) -> Column:
-    table = _table(by[1], SYLLABLES["cyrillic"], SYLLABLES["latin"])
+    table = _table(by[1], SYLLABLES)
     return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: F.get(table, _draw(32, *by, i).cast("int"))), ""))
 
 
@@ -203,7 +209,8 @@ def _new_family(family: Column, width: int, tries: Column) -> Column:
 
 def _new_given(given: Column, female: Column, width: int, tries: Column) -> Column:
     """A listed name; where it was taken before or the letters are widened, with syllables, more each time."""
-    words = F.when(female, _table(given, GIVEN["f", "cyrillic"], GIVEN["f", "latin"])).otherwise(_table(given, GIVEN["m", "cyrillic"], GIVEN["m", "latin"]))
+    f, m = ({script: GIVEN[gender, script] for script in SYLLABLES} for gender in "fm")
+    words = F.when(female, _table(given, f)).otherwise(_table(given, m))
     listed = F.get(words, _draw(16, F.lit("given"), given).cast("int"))
     more = F.lit((width - WIDTH) // 2) + F.when(tries > 0, tries + 1).otherwise(0)
     return F.when(more > 0, F.concat(listed, F.lit("-"), _syllables(F.greatest(more, F.lit(1)), F.lit("given more"), given, tries))).otherwise(listed)

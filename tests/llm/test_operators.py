@@ -171,3 +171,44 @@ def test_chat_matches_sql(spark):
     mine = op6_chat.format_chat(df)
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in mine.collect()))) == sorted(map(str, got.fetchall()))
     assert op6_chat.format_chat(df.limit(0)).collect() == []
+
+
+def test_numbers_agree_however_they_are_written(spark):
+    rows = surrogates(spark, ["call +49 30 123456 or +4930123456 or +49-30-123456", "+1 (743) 555-3824 or +17435553824", "4539 5787 6362 1486 or 4539578763621486", "+380 44 123 4567 or +380441234567"])
+    for x, code in zip(rows, ("49", "1", "", "380"), strict=True):
+        found = [re.sub(r"\D", "", y) for y in x.split(" or ")]
+        assert len(set(found)) == 1 and found[0].startswith(code)
+    assert rows[0] != "call +49 30 123456 or +4930123456 or +49-30-123456"
+
+
+def test_names_keep_their_script(spark):
+    rows = surrogates(spark, ["Mrs Παπά", "Г-жа Анна Петрова", "Mrs Smith", "Mr Νίκος Παππάς"])
+    assert re.fullmatch(r"Mrs [Ͱ-Ͽἀ-῿]+", rows[0]) and re.fullmatch(r"Г-жа [Ѐ-ӿ-]+ [Ѐ-ӿ]+", rows[1])
+    assert re.fullmatch(r"Mrs [A-Za-z]+", rows[2]) and re.fullmatch(r"Mr [Ͱ-Ͽἀ-῿-]+ [Ͱ-Ͽἀ-῿]+", rows[3])
+
+
+def test_surrogates_of_given_documents(spark):
+    """A plain walk over both texts: what stands around mentions stays, kinds stay, entities and surrogates match one to one."""
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    after = {r.doc_id: r.text for r in op9_pii.pseudonymized(docs).collect()}
+    new_of, old_of, met = {}, {}, 0
+
+    def entity(m):
+        if "@" in m:
+            return "email", m.lower()
+        if regex.match(op9_pii._TITLES, m):
+            return "name", regex.sub(f"^{op9_pii._TITLES}", "", m).lower()
+        return "number", m.count("."), regex.sub(r"\D", "", m)
+
+    for r in docs.collect():
+        a, b = r.text or "", after[r.doc_id] or ""
+        assert (r.text is None) == (after[r.doc_id] is None)
+        assert regex.sub(op9_pii.ANY, "\0", a) == regex.sub(op9_pii.ANY, "\0", b)
+        for m, n in zip(regex.findall(op9_pii.ANY, a), regex.findall(op9_pii.ANY, b), strict=True):
+            x, y = entity(m), entity(n)
+            assert x[0] == y[0] and m != n
+            assert new_of.setdefault(x, y) == y and old_of.setdefault(y, x) == x, (m, n)
+            met += 1
+    assert met > 50
