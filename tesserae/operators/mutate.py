@@ -49,6 +49,17 @@ def transition(memories: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.withColumn("moved", ok).withColumn("status", F.when(ok, F.col("to")).otherwise(F.col("status"))).drop("to")
 
 
+def set_status(memories: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """`changes` (id, status): the status is set without asking whether the move is allowed."""
+    rows = memories.join(changes.select("id", F.col("status").alias("_to")), "id", "left")
+    return rows.withColumn("updated_at", F.when(F.col("_to").isNotNull(), now).otherwise(F.col("updated_at"))).withColumn("status", F.coalesce("_to", "status")).drop("_to")
+
+
+def retained(rows: DataFrame, day: str, today: Column, days: int = 30) -> DataFrame:
+    """Rows of the last days; with a table partitioned by day, older folders aren't read."""
+    return rows.where(F.col(day) >= F.date_sub(today, days))
+
+
 def reinforce(memories: DataFrame, ids: DataFrame) -> DataFrame:
     hit = memories.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
     can = F.col("_hit") & F.col("status").isin("active", "reinforced", "stale", "superseded")

@@ -112,6 +112,13 @@ def upsert_links(links: DataFrame, new: DataFrame) -> DataFrame:
     return links.join(new.select(*key), key, "left_anti").unionByName(new.select(*links.columns))
 
 
+def backfill(memories: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (type, content) that the memories don't have yet, added once; running it again adds nothing."""
+    columns = rows.columns
+    missing = rows.distinct().join(memories.select(*columns).distinct(), columns, "left_anti")
+    return memories.unionByName(missing.select(*memories.columns))
+
+
 def derive(memories: DataFrame, members: DataFrame, clusters: str = "component") -> DataFrame:
     """A row for each cluster of `members` (component, id): content, scope and its owner, trust and source ids.
 

@@ -205,15 +205,11 @@ def _(spark, d):
 
 @query("st2_stream_dedupe", None)
 def _(spark, d):
-    import uuid
-
-    from tesserae.sources.shared import durable
+    from tesserae.plans.streams import _folder, _ran
     from tesserae.streaming import capture
 
-    top = f"{durable(spark)}/dedupe-{uuid.uuid4().hex}"
-    rows = capture.distinct_events(capture.captured(capture.events(spark, f"{d}/events.parque[t]"))).select("id", "kind", "user_id")
-    capture.append(rows, f"{top}/rows", f"{top}/state").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{top}/rows")
+    rows = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _ran(spark, capture.distinct_events(capture.captured(capture.events(spark, _folder(spark, rows, "events")))).select("id", "kind", "user_id"), "dedupe")
 
 
 @query("st9_backfill_owner", "SELECT id, coalesce(user_id, 0) AS user_id FROM memories")

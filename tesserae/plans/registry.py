@@ -550,17 +550,13 @@ def _(spark, d):
     return io.counts({t: views.table(spark, d, t) for t in ("documents", "events", "pages")})
 
 
-@query("st1_capture_stream", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type IN ('click', 'view') THEN 'prompt' ELSE 'tool_call' END AS kind, props AS content FROM events")
+@query("st1_capture_stream", "SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type IN ('click', 'view') THEN 'prompt' ELSE 'tool_call' END AS kind, CASE WHEN event_id % 4 = 0 THEN props || ' [REDACTED]' ELSE props END AS content FROM events")
 def _(spark, d):
-    import uuid
-
-    from tesserae.sources.shared import durable
+    from tesserae.plans.streams import _folder, _ran
     from tesserae.streaming import capture
 
-    top = f"{durable(spark)}/capture-{uuid.uuid4().hex}"
-    rows = capture.captured(capture.events(spark, f"{d}/events.parque[t]")).select("id", "kind", "content")
-    capture.append(rows, f"{top}/rows", f"{top}/state").awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{top}/rows")
+    rows = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("props", F.when(F.col("event_id") % 4 == 0, F.concat("props", F.lit(" password=abcdefgh"))).otherwise(F.col("props")))
+    return _ran(spark, capture.captured(capture.events(spark, _folder(spark, rows, "events"))).select("id", "kind", "content"), "capture")
 
 
-from tesserae.plans import access, more, reads, writes  # noqa: E402, F401  register the rest
+from tesserae.plans import access, more, reads, streams, writes  # noqa: E402, F401  register the rest
