@@ -162,3 +162,13 @@ def query_phrases(query: str, fuzzy: bool = False, extra: tuple[tuple[str, str],
             if phrase and phrase not in out:
                 out.append(phrase)
     return out
+
+
+def phrase_column(query: Column, extra: tuple[tuple[str, str], ...] = ()) -> Column:
+    """`query_phrases` as a Column, for many queries at once: array<array<string>>."""
+    table = {k: [term_list(" ".join(segments(v))) for v in vs] for k, vs in counterparts(extra).items() if k.isascii()}
+    other = F.create_map(*[x for k, vs in table.items() for x in (F.lit(k), F.array(*[F.array(*map(F.lit, v)) for v in vs]))])
+    chunks = F.slice(F.filter(F.split(query, r"\s+"), lambda c: c != ""), 1, 8)
+    own = F.transform(chunks, lambda c: terms(F.when(has_thai(c), segmented(c)).otherwise(c)))
+    more = F.flatten(F.transform(chunks, lambda c: F.coalesce(F.try_element_at(other, F.lower(c)), F.array().cast("array<array<string>>"))))
+    return F.array_distinct(F.filter(F.concat(own, more), lambda p: F.size(p) > 0))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tesserae.functions import scoring, text
+from tesserae.sources.shared import written
 
 
 def sparse_embedding(docs: DataFrame, body: str) -> DataFrame:
@@ -53,6 +55,37 @@ def pairs(vectors: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
     return tasks.groupBy("i", "j").applyInPandas(run, "a long, b long, score double")
 
 
+def search_many(vectors: DataFrame, queries: DataFrame, limit: int = 50, floor: float = 0.15, visible: DataFrame | None = None, block: int = 4096, asked: int = 512) -> DataFrame:
+    """Rows of (qid, id, score, rank) for many queries (qid, vec): exact, blocks of queries by blocks of vectors.
+
+    A task multiplies two blocks and keeps each query's best; the merge sees `limit` rows for a query and block.
+    """
+    limit = max(1, min(limit, 200))
+    rows = vectors if visible is None else vectors.join(visible.select("id"), "id", "left_semi")
+    rows = written(rows.select("id", "vec"), "vectors")
+    shares, parts = max(1, -(-rows.count() // block)), max(1, -(-queries.count() // asked))
+    place = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n))
+    left = queries.select(F.col("qid").alias("id"), "vec", F.lit(True).alias("asks"), place("qid", parts, 1).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
+    right = rows.select("id", "vec", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), place("id", shares, 2).alias("share"))
+
+    def run(pdf):
+        import pandas as pd
+
+        a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qid": [], "id": [], "score": []})
+        x, y = (np.stack(p["vec"].to_list()).astype(np.float64) for p in (a, b))
+        score = np.round(x @ y.T, 5)
+        at = np.argsort(-score, axis=1, kind="stable")[:, :limit]  # ties: least id first
+        best = np.take_along_axis(score, at, 1)
+        keep = best >= floor
+        return pd.DataFrame({"qid": np.broadcast_to(a["id"].to_numpy()[:, None], at.shape)[keep], "id": b["id"].to_numpy()[at][keep], "score": best[keep]})
+
+    found = left.unionByName(right.select(left.columns)).groupBy("part", "share").applyInPandas(run, "qid long, id long, score double")
+    by = W.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
+
+
 def best_matches(candidates: DataFrame, vectors: DataFrame, floor: float, kind: str, block: int = 2048) -> DataFrame:
     """For each candidate (id, vec, kind) its most similar other row of its kind: (candidate, id, score); ties: least id.
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tesserae.functions import documents, scope, scoring, text, thai
-from tesserae.operators import exports, graph, recall, retrieve, writes
+from tesserae.operators import exports, graph, lexical, recall, retrieve, writes
 from tesserae.plans import views
-from tesserae.plans.registry import NORMAL, SHOWN, VISIBLE, WHO, query, query_vector
+from tesserae.plans.registry import AGE, CLAMP, DECAY, NORMAL, SCOPE_FACTOR, SHOWN, VISIBLE, WHO, index_sql, query, query_vector
 
 EXPORTED = f"(SELECT id FROM memories WHERE status <> 'deleted' AND {VISIBLE})"
 
@@ -263,3 +263,48 @@ def _(spark, d):
     m = views.memories(spark, d).where("status NOT IN ('deleted', 'archived')").select("id", "type")
     rows = views.embeddings(spark, d).join(m, "id")
     return vectors.best_matches(rows.where("id % 20 = 0"), rows, 0.35, "type")
+
+
+def asked(spark, d):
+    """Many queries: the first words of every twentieth document, with the vector of the same id."""
+    docs = views.table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.regexp_extract(F.lower("text"), r"^\S+(?:\s+\S+){0,5}", 0).alias("query"))
+    return docs.join(views.embeddings(spark, d).withColumnRenamed("id", "qid"), "qid")
+
+
+_MANY = rf"""
+, qs AS (SELECT doc_id AS qid, regexp_extract(lower(text), '^\S+(?:\s+\S+){{0,5}}') AS q, embedding AS vec FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 20 = 0),
+chunks AS (SELECT qid, unnest(list_filter(string_split_regex(q, '\s+'), lambda c: c <> '')) AS c FROM qs),
+phrases AS (SELECT DISTINCT qid, p FROM (SELECT qid, regexp_extract_all(strip_accents(c), '[\p{{L}}\p{{N}}\p{{Co}}\p{{M}}]+') AS p FROM chunks UNION ALL SELECT qid, s.p FROM chunks JOIN (SELECT unnest([{", ".join(repr(k) for k, vs in thai.counterparts().items() if k.isascii() for _ in vs)}]) AS k, unnest([{", ".join(str(thai.term_list(" ".join(thai.segments(v)))) for k, vs in thai.counterparts().items() if k.isascii() for v in vs)}]) AS p) s ON s.k = c) WHERE len(p) > 0),
+tok AS (SELECT id, regexp_extract_all({index_sql("content")}, '[\p{{L}}\p{{N}}\p{{Co}}\p{{M}}]+') AS t, lower(type) AS kind, {VISIBLE} AND {SHOWN} AS seen FROM memories),
+stats AS (SELECT count(*) AS documents, avg(len(t) + 3) AS mean FROM tok),
+place AS (SELECT id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i FROM tok UNION ALL SELECT id, 'memories', -10 FROM tok UNION ALL SELECT id, CAST(id AS VARCHAR), -20 FROM tok UNION ALL SELECT id, kind, -30 FROM tok),
+hits AS (SELECT qid, p, id, count(*) AS tf FROM (SELECT f.qid, f.p, x.id, x.i - f.k AS s FROM (SELECT qid, p, unnest(p) AS w, unnest(range(0, len(p))) AS k FROM phrases) f JOIN place x ON x.w = f.w GROUP BY ALL HAVING count(*) = len(p)) GROUP BY ALL),
+df AS (SELECT qid, p, count(*) AS df FROM hits GROUP BY ALL),
+lex AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+  SELECT hits.qid, hits.id, round(sum(CASE WHEN ln((documents - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((documents - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(tok.t) + 3) / mean))), 6) AS score
+  FROM hits JOIN df ON df.qid = hits.qid AND df.p = hits.p JOIN tok ON tok.id = hits.id, stats WHERE tok.seen GROUP BY hits.qid, hits.id) QUALIFY rank <= 50),
+near AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+  SELECT qid, vec_id AS id, round(list_sum(list_transform(list_zip(embedding, vec), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 5) AS score FROM embeddings, qs WHERE vec_id IN (SELECT id FROM memories WHERE {VISIBLE} AND {SHOWN})) WHERE score >= 0.15 QUALIFY rank <= 50)
+"""
+
+
+@query("q01_search_many", _MANY + "SELECT qid, id, score, rank FROM lex")
+def _(spark, d):
+    out = lexical.search_many(views.memories(spark, d), asked(spark, d), 50, visible=scope.visible(**WHO) & scope.not_hidden())
+    return out.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("q02_search_many", _MANY + "SELECT qid, id, score, rank FROM near")
+def _(spark, d):
+    from tesserae.operators import vectors
+
+    seen = views.memories(spark, d).where(scope.visible(**WHO) & scope.not_hidden())
+    return vectors.search_many(views.embeddings(spark, d), asked(spark, d), 50, visible=seen).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("q03_retrieve_many", _MANY + f""", fused AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS rrf, max(CASE WHEN ch = 0 THEN rank END) AS r0, max(CASE WHEN ch = 1 THEN rank END) AS r1 FROM (SELECT qid, id, rank, 0 AS ch FROM lex UNION ALL SELECT qid, id, rank, 1 FROM near) GROUP BY ALL)
+SELECT qid, id, round(final_score, 6) AS final_score, place FROM (SELECT qid, id, final_score, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, r0 NULLS LAST, r1 NULLS LAST, id) AS place FROM (
+  SELECT qid, m.id, r0, r1, round(rrf * {CLAMP.format('confidence')} * (0.5 + 0.5 * {CLAMP.format('importance')}) * exp(-({DECAY}) * {AGE}) * ({SCOPE_FACTOR}), 8) AS final_score FROM memories m JOIN fused ON fused.id = m.id)) WHERE place <= 10""")
+def _(spark, d):
+    out = retrieve.retrieve_many(views.memories(spark, d), views.embeddings(spark, d), asked(spark, d), F.lit(views.NOW).cast("timestamp"), 10, **WHO)
+    return out.select("qid", "id", F.round("final_score", 6).alias("final_score"), F.col("place").cast("long").alias("place"))
