@@ -13,7 +13,8 @@ sequence is one shingle. Texts are lower-cased; words are split at space and the
 `with_next` pairs every row with the next one by descending id without a global sort: ids are cut
 into ranges at approximate quantiles that are ids themselves, so each range starts with a known
 row, of which the range before gets a copy; then ranges are ordered on their own. Null ids come
-last; rows of one id are ordered by text. An empty table gives an empty result.
+last; rows of one id are ordered by text. Texts of any length are taken whole, in one row. Repeated
+rows have equal fingerprints. Other columns are dropped. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -33,7 +33,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let
+from .common import documents, let, materialize, release
 
 KEY = "surrogate-key-1"
 WIDTH = 9
@@ -264,7 +264,8 @@ def exceptions(df: DataFrame, text: str = "text") -> tuple[int, dict[str, int],
     found = df.select(F.explode(mentions(F.col(text))).alias("m")).select("m", kind(F.col("m")).alias("k")).where("k IN ('email', 'name')")
     # one row for each address and full name: under which titles it is met, and the spelling that is least
     c, female, male = canonical(F.col("m")), _titled(F.col("m"), _FEMALE), _titled(F.col("m"), _MALE)
-    entities = found.groupBy(c.alias("c"), "k").agg(F.min("m").alias("m"), F.max(female).alias("f"), F.max(male).alias("l"), F.max(~female & ~male).alias("n")).persist()
+    entities = found.groupBy(c.alias("c"), "k").agg(F.min("m").alias("m"), F.max(female).alias("f"), F.max(male).alias("l"), F.max(~female & ~male).alias("n"))
+    entities = materialize(entities, "entities")
     try:
         names = entities.where("k = 'name'").withColumn("bare", F.expr("substring(c, 6)")).withColumn("given", _given(F.col("bare"))).withColumn("drawn", _drawn_female(F.col("bare")))
         other = names.where("n AND given <> '' AND f <> l AND f <> drawn").select("bare", "f").collect()
@@ -275,7 +276,8 @@ def exceptions(df: DataFrame, text: str = "text") -> tuple[int, dict[str, int],
         family = names.select(_family(F.col("bare")).alias("word")).distinct()
         known = entities.where("k = 'email'").select("c", F.col("m").alias("word"), F.lit(False).alias("female"))
         known = known.union(family.select(F.concat(F.lit("family:"), F.col("word")), "word", F.lit(False)))
-        known = known.union(given.select(_given_entity(F.col("female"), F.col("word")), "word", "female")).persist()
+        known = known.union(given.select(_given_entity(F.col("female"), F.col("word")), "word", "female"))
+        known = materialize(known, "known")
         try:
             width, tries = WIDTH, {}
             while True:
@@ -288,9 +290,9 @@ def exceptions(df: DataFrame, text: str = "text") -> tuple[int, dict[str, int],
                     return width, tries, genders
                 tries = tries | {r.c: tries.get(r.c, 0) + 1 for r in rows}
         finally:
-            known.unpersist()
+            release(known)
     finally:
-        entities.unpersist()
+        release(entities)
 
 
 def _colliding(known: DataFrame, width: int, tries: dict[str, int]) -> DataFrame:
