@@ -50,7 +50,7 @@ def _class(items) -> set[str] | None:
             out |= {_fold(c) for c in range(arg[0], arg[1] + 1)}
         else:
             return None
-    return out if len(out) <= 4 else None
+    return out if len(out) <= 6 else None
 
 
 def _sequence(nodes) -> tuple[set[str] | None, object]:
