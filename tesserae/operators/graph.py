@@ -57,9 +57,8 @@ def components(links: DataFrame) -> DataFrame:
 
     A node takes the least label near it, so does the node that its label names, and labels jump to their own labels.
     """
-    durable(links.sparkSession)
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct().persist()
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")).checkpoint()
+    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
     while True:
         near = edges.join(labels, edges.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("n"))
         met = labels.join(near, "id")
@@ -67,12 +66,11 @@ def components(links: DataFrame) -> DataFrame:
         step = met.select("id", "component", F.least("component", "n").alias("to")).union(hooked)
         step = step.groupBy("id").agg(F.max("component").alias("component"), F.min("to").alias("to"))
         further = labels.select(F.col("id").alias("to"), F.col("component").alias("further"))
-        step = step.join(further, "to").select("id", F.least("to", "further").alias("component"), (F.least("to", "further") < F.col("component")).alias("moved")).checkpoint()
+        step = step.join(further, "to").select("id", F.least("to", "further").alias("component"), (F.least("to", "further") < F.col("component")).alias("moved"))
+        step = written(step, "labels")
         labels = step.drop("moved")
         if step.where("moved").isEmpty():
-            break
-    edges.unpersist()
-    return labels
+            return labels
 
 
 def co_occurring(found: DataFrame) -> DataFrame:
@@ -97,6 +95,6 @@ def derived_scope(members: DataFrame, key: str) -> DataFrame:
     """The scope of what is derived from groups: unanimous, else the narrowest; several owners give no scope id."""
     rank = F.when(F.col("scope") == "SESSION", 4).when(F.col("scope") == "USER", 3).when(F.col("scope") == "PROJECT", 2).otherwise(1)
     owner = F.coalesce("session_id", F.col("user_id").cast("string"), "project_id", F.lit(""))
-    rows = members.withColumn("_r", rank).withColumn("_o", owner).withColumn("_top", F.max("_r").over(W.partitionBy(key)))
-    top = rows.where("_r = _top").groupBy(key).agg(F.first("scope").alias("scope"), F.countDistinct("_o").alias("owners"), F.min("_o").alias("owner"))
-    return top.select(key, "scope", F.when(F.col("owners") == 1, F.col("owner")).alias("owner"))
+    ranks = members.withColumn("_r", rank).withColumn("_o", owner).groupBy(key, "_r").agg(F.first("scope").alias("scope"), F.countDistinct("_o").alias("owners"), F.min("_o").alias("owner"))
+    top = ranks.groupBy(key).agg(F.max_by(F.struct("scope", "owners", "owner"), "_r").alias("top"))
+    return top.select(key, "top.scope", F.when(F.col("top.owners") == 1, F.col("top.owner")).alias("owner"))
