@@ -106,14 +106,15 @@ def uniform(*by: Column) -> Column:
 def mix(df: DataFrame, weights=WEIGHTS, share: float = 1.0, weight: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row with size, source_size, target, copies; `keep` names columns that stay, in the struct `kept`.
 
-    `weight` is a positive Column over `size` and the columns of `df` (null counts as 1).
+    `weight` is a positive Column over the columns of `df` (null counts as 1).
     """
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("string")
     drawn = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.xxhash64("text").cast("string")))
-    size = words(F.col("text"))
-    given = F.log2(F.lit(2) + size) if weight is None else weight
-    sized = df.select("doc_id", "source", kept.alias("kept"), size.alias("size"), F.greatest(F.coalesce(given.cast("double"), F.lit(1.0)), F.lit(1e-6)).alias("_w"), uniform(drawn).alias("_u"), F.xxhash64("text").alias("_h"))
+    given = [] if weight is None else [weight.cast("double").alias("_w")]
+    sized = df.select("doc_id", "source", kept.alias("kept"), words(F.col("text")).alias("size"), *given, uniform(drawn).alias("_u"), F.xxhash64("text").alias("_h"))
     sized = materialize(sized, "sized")  # words are counted once, and what follows reads a few numbers a document
+    own = F.log2(F.lit(2.0) + F.col("size")) if weight is None else F.coalesce("_w", F.lit(1.0))
+    sized = sized.withColumn("_w", F.greatest(own, F.lit(1e-6)))
     numbers = sized.drop("kept", "doc_id", "_u", "_h")
     sources = numbers.groupBy("source").agg(F.sum("size").alias("n"))
     goal = scales(numbers, targets(ranked(sources), weights, share))
