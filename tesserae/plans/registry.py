@@ -144,7 +144,7 @@ def _(spark, d):
     return e.alias("x").join(e.alias("y"), (F.col("x.entity") == F.col("y.entity")) & (F.col("x.item_id") < F.col("y.item_id"))).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b")).distinct()
 
 
-@query("a01_counts_by_kind", ", i AS (SELECT CASE WHEN id % 7 = 0 THEN 'odd' ELSE kind END AS kind FROM interactions) SELECT kind, sum(n) AS n FROM (SELECT kind, count(*) AS n FROM i GROUP BY kind UNION ALL SELECT unnest(['prompt', 'tool_call', 'error', 'note']), 0) GROUP BY kind")
+@query("a01_counts_by_kind", ", i AS (SELECT CASE WHEN id % 7 = 0 THEN 'odd' ELSE kind END AS kind FROM interactions) SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM (SELECT kind, count(*) AS n FROM i GROUP BY kind UNION ALL SELECT unnest(['prompt', 'tool_call', 'error', 'note']), 0) GROUP BY kind")
 def _(spark, d):
     known = spark.createDataFrame([(k, 0) for k in ("prompt", "tool_call", "error", "note")], "kind string, n long")
     got = views.interactions(spark, d).select(F.when(F.col("id") % 7 == 0, "odd").otherwise(F.col("kind")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
@@ -198,7 +198,7 @@ def _redacted_sql(column: str) -> str:
     return out
 
 
-@query("a18_changed_rows", "SELECT count_if(text <> changed) AS changed, count(*) AS rows FROM (SELECT text, {} AS changed FROM documents)".format(_redacted_sql("text")))
+@query("a18_changed_rows", "SELECT CAST(count_if(text <> changed) AS BIGINT) AS changed, count(*) AS rows FROM (SELECT text, {} AS changed FROM documents)".format(_redacted_sql("text")))
 def _(spark, d):
     rows, changed = mutate.scrub(views.table(spark, d, "documents").select("doc_id", "text"), ["text"], text.redact)
     return rows.agg(changed.alias("changed"), F.count("*").alias("rows"))

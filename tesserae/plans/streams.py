@@ -115,7 +115,7 @@ def _(spark, d):
 _SCRUBBED = {"documents": ("doc_id", ["text"]), "conversations": ("conv_id", ["text"]), "benchmark": ("item_id", ["text"]), "pages": ("page_id", ["url"]), "customer": ("c_custkey", ["c_name"]), "part": ("p_partkey", ["p_name", "p_type"]), "events": ("event_id", ["props"]), "supplier": ("s_suppkey", ["s_name"]), "orders": ("o_orderkey", ["o_orderpriority"])}
 
 
-@query("u14_scrub_counts", " UNION ALL ".join(f"{'SELECT' if i else ' SELECT'} '{t}' AS table_name, count_if({' OR '.join(f'{c} <> {_redacted_sql(c)}' for c in cols)}) AS changed, count(*) AS rows FROM {t}" for i, (t, (_, cols)) in enumerate(_SCRUBBED.items())))
+@query("u14_scrub_counts", " UNION ALL ".join(f"{'SELECT' if i else ' SELECT'} '{t}' AS table_name, CAST(count_if({' OR '.join(f'{c} <> {_redacted_sql(c)}' for c in cols)}) AS BIGINT) AS changed, count(*) AS rows FROM {t}" for i, (t, (_, cols)) in enumerate(_SCRUBBED.items())))
 def _(spark, d):
     out = None
     for t, (_key, columns) in _SCRUBBED.items():

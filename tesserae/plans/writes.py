@@ -104,7 +104,7 @@ def _(spark, d):
     return writes.resolve(views.memories(spark, d), links, _found(spark, d))[0].select("id", "status", "confidence")
 
 
-@query("u11_resolve_links", _FOUND + ", n AS (SELECT DISTINCT candidate AS s, id AS t FROM f WHERE relation = 'contradiction') SELECT source_memory_id, relation, target_memory_id, 0.5 AS confidence FROM links WHERE NOT (relation = 'contradicts' AND (source_memory_id, target_memory_id) IN (SELECT (s, t) FROM n)) UNION ALL SELECT s, 'contradicts', t, 0.8 FROM n".replace("(SELECT (s, t) FROM n)", "(SELECT s, t FROM n)"))
+@query("u11_resolve_links", _FOUND + ", n AS (SELECT DISTINCT candidate AS s, id AS t FROM f WHERE relation = 'contradiction') SELECT source_memory_id, relation, target_memory_id, CAST(0.5 AS DOUBLE) AS confidence FROM links WHERE NOT (relation = 'contradicts' AND (source_memory_id, target_memory_id) IN (SELECT (s, t) FROM n)) UNION ALL SELECT s, 'contradicts', t, CAST(0.8 AS DOUBLE) FROM n".replace("(SELECT (s, t) FROM n)", "(SELECT s, t FROM n)"))
 def _(spark, d):
     links = views.links(spark, d).withColumn("confidence", F.lit(0.5))
     return writes.resolve(views.memories(spark, d), links, _found(spark, d))[1]
@@ -194,7 +194,7 @@ def _(spark, d):
 @query(
     "f16_validators",
     views.more_sql("users", "entities", "preferences", "lessons")
-    + " SELECT 'users' AS kind, count(*) AS n, count_if(id % 7 <> 0 AND id % 11 <> 0) AS valid FROM users UNION ALL SELECT 'entities', count(*), count_if(id % 6 <> 0) FROM entities UNION ALL SELECT 'preferences', count(*), count_if(id % 9 <> 0 AND id % 10 <> 3) FROM preferences UNION ALL SELECT 'lessons', count(*), count_if(id % 13 <> 0) FROM lessons"
+    + " SELECT 'users' AS kind, count(*) AS n, CAST(count_if(id % 7 <> 0 AND id % 11 <> 0) AS BIGINT) AS valid FROM users UNION ALL SELECT 'entities', count(*), CAST(count_if(id % 6 <> 0) AS BIGINT) FROM entities UNION ALL SELECT 'preferences', count(*), CAST(count_if(id % 9 <> 0 AND id % 10 <> 3) AS BIGINT) FROM preferences UNION ALL SELECT 'lessons', count(*), CAST(count_if(id % 13 <> 0) AS BIGINT) FROM lessons"
     " UNION ALL SELECT 'profile', count(*), count_if(length(text) BETWEEN 1 AND 10000) FROM documents",
 )
 def _(spark, d):
