@@ -195,7 +195,7 @@ def _(spark, d):
     "f16_validators",
     views.more_sql("users", "entities", "preferences", "lessons")
     + " SELECT 'users' AS kind, count(*) AS n, CAST(count_if(id % 7 <> 0 AND id % 11 <> 0) AS BIGINT) AS valid FROM users UNION ALL SELECT 'entities', count(*), CAST(count_if(id % 6 <> 0) AS BIGINT) FROM entities UNION ALL SELECT 'preferences', count(*), CAST(count_if(id % 9 <> 0 AND id % 10 <> 3) AS BIGINT) FROM preferences UNION ALL SELECT 'lessons', count(*), CAST(count_if(id % 13 <> 0) AS BIGINT) FROM lessons"
-    " UNION ALL SELECT 'profile', count(*), count_if(length(text) BETWEEN 1 AND 10000) FROM documents",
+    " UNION ALL SELECT 'profile', count(*), CAST(count_if(length(text) BETWEEN 1 AND 10000) AS BIGINT) FROM documents",
 )
 def _(spark, d):
     count = lambda df, name, ok: df.select(ok.alias("ok")).agg(F.count("*").alias("n"), F.count_if("ok").alias("valid")).select(F.lit(name).alias("kind"), "n", "valid")
