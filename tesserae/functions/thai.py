@@ -130,24 +130,41 @@ def counterparts(extra: tuple[tuple[str, str], ...] = ()) -> dict[str, list[str]
     return table
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once for every use in `body`."""
+    return F.transform(F.array(value), body)[0]
+
+
 def expanded(padded: Column, extra: tuple[tuple[str, str], ...] = ()) -> Column:
     """Segmented text with the counterparts of its known words that it lacks, for the index.
 
-    A word counts if it is a whole token, or, in Thai, whole tokens in a row make it up.
+    A word counts if it is a whole token, or, in Thai, whole tokens in a row make it up. Texts that
+    hold no known word anywhere, which is most, are told by plain searches and left as they are.
     """
     table = counterparts(extra)
-    low = F.lower(padded)
-    spaced = F.concat(F.lit(" "), F.regexp_replace(low, r"\s+", " "), F.lit(" "))
-    found = []
-    for term, others in table.items():
-        there = spaced.contains(f" {term} ") if term.isascii() else low.rlike(r"(?<!\S)" + r"\s*".join(map(re.escape, term)) + r"(?!\S)")
-        for other in others:
-            shown = " ".join(segments(other))
-            found.append(F.when(there & ~low.contains(shown), shown))
-    added = F.array_join(F.array_distinct(F.array_compact(F.array(*found))), " ")
-    some = low.rlike("|".join(re.escape(t) for t in table if t.isascii()) + "|[฀-๿]")
-    whole = F.rtrim(F.concat_ws(" ", padded, F.when(F.length(added) > 0, added)))
-    return F.when(some, whole).otherwise(padded)
+
+    def any_of(tests: list[Column]) -> Column:
+        out = tests[0]
+        for t in tests[1:]:
+            out = out | t
+        return out
+
+    def added(text: Column, low: Column, thai: Column, spaced: Column) -> Column:
+        found = []
+        for term, others in table.items():
+            there = spaced.contains(f" {term} ") if term.isascii() else thai & low.rlike(r"(?<!\S)" + r"\s*".join(map(re.escape, term)) + r"(?!\S)")
+            for other in others:
+                shown = " ".join(segments(other))
+                found.append(F.when(there & ~low.contains(shown), shown))
+        more = F.array_join(F.array_distinct(F.array_compact(F.array(*found))), " ")
+        return _let(more, lambda m: F.rtrim(F.concat_ws(" ", text, F.when(F.length(m) > 0, m))))
+
+    def of(text: Column, low: Column, thai: Column) -> Column:
+        spaced = F.concat(F.lit(" "), F.regexp_replace(low, r"\s+", " "), F.lit(" "))
+        some = thai | any_of([low.contains(t) for t in table if t.isascii()])
+        return F.when(some, _let(spaced, lambda s: added(text, low, thai, s))).otherwise(text)
+
+    return _let(padded, lambda t: _let(F.lower(t), lambda low: _let(has_thai(low), lambda th: of(t, low, th))))
 
 
 def query_phrases(query: str, fuzzy: bool = False, extra: tuple[tuple[str, str], ...] = ()) -> list[list[str]]:
