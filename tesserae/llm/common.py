@@ -54,6 +54,13 @@ def small_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def keep_small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Lower the session's bound on Arrow batches, where it is higher, for rows that the caller computes later."""
+    key, size = "spark.sql.execution.arrow.maxBytesPerBatch", spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < size(spark.conf.get(key)) <= size(most):
+        spark.conf.set(key, most)
+
+
 def trim() -> None:
     """Give freed memory back: workers live on after a task, and the next stages need what they hold."""
     pa.default_memory_pool().release_unused()
@@ -61,13 +68,15 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """A function for mapInArrow that trims the worker when its task ends."""
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], last: Callable[[], None] | None = None) -> Callable:
+    """A function for mapInArrow that calls `last` and trims the worker when its task ends."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
+            if last is not None:
+                last()
             trim()
 
     return whole
@@ -108,8 +117,8 @@ def _parts(batch: pa.RecordBatch, rows: int = 1024, most: int = 1 << 22) -> Iter
         lo = hi
 
 
-def map_batches(df: DataFrame, schema: str, fn: Callable[..., list], *args) -> DataFrame:
-    """Apply `fn(columns as lists, *args) -> list of result columns` to Arrow batches, cut to a few MB of text."""
+def map_batches(df: DataFrame, schema: str, fn: Callable[..., list], *args, last: Callable[[], None] | None = None) -> DataFrame:
+    """Apply `fn(columns as lists, *args) -> list of result columns` to Arrow batches, cut to a few MB of text; `last` ends each task."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -121,7 +130,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[..., list], *args) -> D
                 out = fn(*[c.to_pylist() for c in part.columns], *args)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
-    return df.mapInArrow(trimmed(run), schema)
+    return df.mapInArrow(trimmed(run, last), schema)
 
 
 def map_whole(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:

@@ -34,6 +34,13 @@ def encode_text(text: str | None, raw: bytes) -> list[int]:
     return list(chain.from_iterable(map(cache.__getitem__, model.chunks(text or ""))))
 
 
+def forget(raw: bytes) -> None:
+    """Empty a worker's caches: up to 200 MB, which it would hold as long as it lives."""
+    model, cache = spm.load(raw)
+    cache.clear()
+    model.forget()
+
+
 def encode(df: DataFrame, raw: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of (key, ids array<int>, decoded string)."""
     shared = df.sparkSession.sparkContext.broadcast(raw)

@@ -124,6 +124,11 @@ class Model:
             known = self._pairs[a, b] = self.merge(a + b) == [a, b]
         return known
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts; all of it can be found again."""
+        self._pairs.clear()
+        self._shorter.clear()
+
     def shorter(self, token: str) -> str:
         """The longest token that is a proper prefix of `token`; "" if there is none."""
         known = self._shorter.get(token)
