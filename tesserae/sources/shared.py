@@ -20,8 +20,17 @@ def durable(spark: SparkSession) -> str:
     return top
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write rows to the shared folder and read them again: computed once, and no executor's loss takes them."""
+def written(df: DataFrame, name: str, batch: str | None = None) -> DataFrame:
+    """Write rows to the shared folder and read them again: computed once, and no executor's loss takes them.
+
+    `batch` bounds the Arrow batches that Python workers get meanwhile.
+    """
     path = f"{durable(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, batch or before)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
