@@ -35,11 +35,11 @@ def retrieve(memories: DataFrame, embeddings: DataFrame, query: str, vector: lis
     return rows.orderBy(F.desc("final_score"), F.asc_nulls_last("rank_0"), F.asc_nulls_last("rank_1"), "id").limit(limit)
 
 
-def retrieve_many(memories: DataFrame, embeddings: DataFrame, queries: DataFrame, now: Column, limit: int = 10, **who) -> DataFrame:
-    """Rows of (qid, id, final_score, place): `retrieve` for many queries (qid, query, vec) in one plan."""
+def retrieve_many(memories: DataFrame, embeddings: DataFrame, queries: DataFrame, now: Column, limit: int = 10, texts: DataFrame | None = None, **who) -> DataFrame:
+    """Rows of (qid, id, final_score, place): `retrieve` for many queries (qid, query, vec) in one plan; `texts` as in lexical.search_many."""
     limit = max(1, min(limit, 50))
     allowed = scope.visible(**who) & scope.not_hidden()
-    words = lexical.search_many(memories, queries.select("qid", "query"), 50, visible=allowed).select("qid", "id", "rank", F.lit(0).alias("channel"))
+    words = lexical.search_many(memories, queries.select("qid", "query"), 50, visible=allowed, texts=texts).select("qid", "id", "rank", F.lit(0).alias("channel"))
     near = vectors.search_many(embeddings, queries.select("qid", "vec"), 50, visible=memories.where(allowed)).select("qid", "id", "rank", F.lit(1).alias("channel"))
     ranks = [F.max(F.when(F.col("channel") == i, F.col("rank"))).alias(f"rank_{i}") for i in (0, 1)]
     fused = words.unionByName(near).groupBy("qid", "id").agg(F.sum(1.0 / (scoring.RRF_K + F.col("rank"))).alias("rrf"), *ranks)

@@ -1,5 +1,6 @@
 """Search for many queries against a plain loop, and what it writes on the way."""
 
+import itertools
 import math
 import os
 import random
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import lexical
+from tesserae.plans import registry
 from tesserae.sources import shared
 
 
@@ -67,3 +69,20 @@ def test_writes_no_whole_texts_and_no_row_for_each_query_and_document(spark, tmp
     files = [os.path.join(at, f) for at, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet")]
     assert files
     assert sum(map(os.path.getsize, files)) < 100_000  # the texts have 2.6 MB; 120,000 pairs match
+
+
+def test_retrieving_many_joins_no_texts(spark, monkeypatch):
+    plans = []
+
+    def seen(df, name, **more):
+        plans.extend([df._jdf.queryExecution().optimizedPlan().toString().split("\n")] if name == "found" else [])
+        return shared.written(df, name, **more)
+
+    monkeypatch.setattr(lexical, "written", seen)
+    registry.queries()["q03_retrieve_many"](spark, "/root/testdata/sf0.001")
+    depth = lambda line: re.search("[A-Za-z]", line).start()
+    lines = [x for x in plans[0] if re.search("[A-Za-z]", x)]
+    at = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    below = list(itertools.takewhile(lambda x: depth(x) > depth(lines[at]), lines[at + 1 :]))
+    assert any("text" in x for x in below)
+    assert not any("Join" in x for x in below)
